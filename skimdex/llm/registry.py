@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op3_simhash_dedup": ("simhash", "op3"),
+    "op8_quality_rules": ("quality", "op8"),
 }
 _SQL: dict[str, tuple[str, str]] = {}
 
