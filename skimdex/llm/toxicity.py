@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUE, chunks, flat, mixed, prefix_hashes, span_hashes
 
 #: Most labelled rows that a chain is fitted on, in the order of a hash of their ids; features it keeps; folds.
-SAMPLE_ROWS, FEATURES, FOLDS = 6000, 1024, 5
+SAMPLE_ROWS, FEATURES, FOLDS = 6000, 512, 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -49,23 +49,35 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 300) -> np.ndarray:
-    """Weights and bias of an L2 logistic regression, by accelerated gradient descent."""
-    x = np.concatenate((x, np.ones((len(x), 1), np.float32)), 1)
-    w = np.zeros(x.shape[1], np.float64)
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    ridge = np.full(len(w), strength)
-    ridge[-1] = 0
-    probe = np.random.default_rng(3).normal(size=len(w)).astype(np.float32)
-    for _ in range(12):  # the largest curvature, by power iteration
-        probe = x.T @ (x @ probe)
+def _logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, features: int, strength: float = 0.3, steps: int = 200) -> np.ndarray:
+    """Weights and bias of an L2 logistic regression, by accelerated gradient descent.
+
+    The input is 1 at each (row, col), with the dense columns ``extra`` and a constant 1 beside it.
+    """
+    extra = np.concatenate((extra, np.ones((len(y), 1))), 1)
+    # Steps are taken in units of each weight's own curvature, so that rare and common features learn alike.
+    scale = np.sqrt(np.concatenate((np.bincount(col, minlength=features), (extra**2).sum(0))) / 4 + strength)
+    ridge = np.append(np.full(len(scale) - 1, strength), 0.0) / scale**2
+    w = np.zeros(len(scale))
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) * scale[-1]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        v = v / scale
+        return np.bincount(row, v[col], len(y)) + extra @ v[features:]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(col, r[row], features), extra.T @ r)) / scale
+
+    probe, norm = np.random.default_rng(3).normal(size=len(w)), 1.0
+    for _ in range(20):  # the largest curvature, by power iteration
+        probe = back(times(probe)) / 4 + ridge * probe
         probe /= (norm := float(np.linalg.norm(probe)) or 1.0)
-    rate, ahead, old = 1.0 / (norm / 4 + strength), w.copy(), w
+    rate, ahead = 1 / (1.2 * norm), w.copy()
     for step in range(1, steps + 1):
-        grad = x.T @ (_sigmoid(x @ ahead.astype(np.float32)) - y) + ridge * ahead
+        grad = back(_sigmoid(times(ahead)) - y) + ridge * ahead
         old, w = w, ahead - rate * grad
         ahead = w + step / (step + 3) * (w - old)
-    return w
+    return w / scale
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -74,7 +86,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _odds(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-3, 1 - 1e-3)
-    return np.log(p / (1 - p)).astype(np.float32)[:, None]
+    return np.log(p / (1 - p))[:, None]
 
 
 @dataclass
@@ -135,21 +147,22 @@ def _selected(hashes: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) ->
 def fit_chain(hashes: np.ndarray, row: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str], most: int = FEATURES) -> Chain:
     """``y``: 0 or 1, a column for each category. Each threshold has the best F1 on out-of-fold predictions."""
     chosen = np.sort(_selected(hashes, row, y, most))
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
-        hit = chosen[at] == hashes
-        x[row[hit], at[hit]] = 1
+    col = np.searchsorted(chosen, hashes)
+    hit = np.flatnonzero(col < len(chosen))
+    hit = hit[chosen[col[hit]] == hashes[hit]]
+    row, col, odds = row[hit], col[hit], np.zeros((len(y), 0))
     weights, thresholds = [], []
     for c in range(y.shape[1]):
-        weights.append(_logistic(x, y[:, c]))
+        weights.append(_logistic(row, col, odds, y[:, c], len(chosen)))
         p = np.zeros(len(y))
         for f in np.unique(fold):
-            rest = fold != f
-            w = _logistic(x[rest], y[rest, c]) if rest.any() else weights[-1]
-            p[~rest] = _sigmoid(x[~rest] @ w[:-1] + w[-1])
+            at = np.flatnonzero(fold != f) if (fold != f).any() else np.arange(len(y))
+            inside = np.isin(row, at)
+            w = _logistic(np.searchsorted(at, row[inside]), col[inside], odds[at], y[at, c], len(chosen))
+            z = np.bincount(row, w[col], len(y)) + odds @ w[len(chosen) : -1] + w[-1]
+            p[fold == f] = _sigmoid(z)[fold == f]
         thresholds.append(_threshold(p, y[:, c]))
-        x = np.concatenate((x, _odds(p)), 1)
+        odds = np.concatenate((odds, _odds(p)), 1)
     return Chain(categories, chosen, weights, thresholds)
 
 
