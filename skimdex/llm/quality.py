@@ -83,9 +83,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> di
         out[f"words_{n}"] = per_row(inside)
         out[f"chars_{n}"] = per_row(chars * inside)
 
-    breaks = np.flatnonzero(data == 10)
-    line_start = np.union1d(offsets[:-1], breaks + 1)
-    line_start = line_start[line_start < len(data)]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:] = data == 10
+    begins[offsets[:-1]] = True
+    line_start = np.flatnonzero(begins[:-1])
     line_row = np.searchsorted(offsets, line_start, side="right") - 1
     line_end = np.append(line_start[1:], len(data)) if len(line_start) else line_start
     line_end = np.minimum(line_end, offsets[line_row + 1])

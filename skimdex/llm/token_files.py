@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,10 @@ class Encoder:
         visible = (before > 0x20) & (before < 0x7F)
         if len(data) > 2:  # a letter of two bytes; longer characters and U+0080 to U+00BF may be white space
             visible[1:] |= (before[1:] >= 0x80) & (before[1:] < 0xC0) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
-        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-        return np.union1d(np.flatnonzero(visible & SPACE[now]) + 1, heads)
+        begins = np.zeros(len(data), bool)
+        begins[1:] = visible & SPACE[now]
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        return np.flatnonzero(begins)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many of them each text has."""
@@ -75,23 +78,31 @@ class Encoder:
             spot = np.searchsorted(self.keys, distinct)
         at, size = self.at[spot][which], self.size[spot][which]
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
+        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
         row = np.searchsorted(offsets, start, side="right") - 1
         return ids, np.bincount(row, size, rows).astype(np.int64)
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = data.tobytes()
         pieces = [raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        size, pool = np.empty(len(keys), np.int64), [self.pool]
-        for i in range(0, len(pieces), 4096):
-            ids = [x.ids for x in self.tokenizer.encode_batch(pieces[i : i + 4096], add_special_tokens=False)]
-            size[i : i + 4096] = [len(x) for x in ids]
-            pool.append(np.array([y for x in ids for y in x], np.uint32))
+        # Many pieces in one text cost the library less than many texts; a cut before white space keeps them apart.
+        apart = np.array([p[:1].isspace() for p in pieces], bool)
+        apart[1:] &= ~np.array([p[-1:].isspace() for p in pieces[:-1]], bool)
+        chars = np.array([len(p) for p in pieces], np.int64)
+        heads = np.flatnonzero(~apart | (np.arange(len(pieces)) % 64 == 0))
+        texts = ["".join(pieces[h:t]) for h, t in zip(heads.tolist(), [*heads[1:].tolist(), len(pieces)], strict=True)]
+        before = np.concatenate(([0], np.cumsum(chars)))
+        size, pool = np.zeros(len(keys), np.int64), [self.pool]
+        for i in range(0, len(texts), 64):
+            encoded = self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)
+            pool.extend(np.array(x.ids, np.uint32) for x in encoded)
+            for h, x in zip(heads[i : i + 64].tolist(), encoded, strict=True):
+                ends = np.fromiter(chain.from_iterable(x.offsets), np.int64).reshape(-1, 2)[:, 1]
+                np.add.at(size, np.searchsorted(before, before[h] + ends) - 1, 1)
         at = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate(pool)
-        keys, at, size = np.concatenate((self.keys, keys)), np.concatenate((self.at, at)), np.concatenate((self.size, size))
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        into = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
 
 
 _encoders: dict[str, Encoder] = {}
