@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _WHERE = {
     "op2_token_files": ("token_files", "op2"),
     "op3_simhash_dedup": ("simhash", "op3"),
+    "op6_sentencepiece": ("sentencepiece_codec", "op6"),
     "op8_quality_rules": ("quality", "op8"),
     "op9_language_id": ("langid", "op9"),
     "op10_toxicity": ("toxicity", "op10"),

@@ -20,14 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import simple8b
-from .common import SPACE, chunks, flat, parts, prefix_hashes, shared_root, span_hashes
-from .quality import _values
+from .common import SPACE, chunks, flat, parts, shared_root
+from .pieces import PieceMemory
 
-#: Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 1_500_000
 
-
-class Encoder:
+class Encoder(PieceMemory):
     """``tokenizers`` encoding of many texts, asking the library once for each distinct piece of them.
 
     A text is cut where white space follows a visible character. A byte-level BPE splits there before it
@@ -41,68 +38,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        super().__init__()
 
-    @staticmethod
-    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Starts of the pieces; a text that isn't empty starts one."""
+    def cuts(self, data: np.ndarray) -> np.ndarray:
         before, now = data[:-1], data[1:]
         visible = (before > 0x20) & (before < 0x7F)
         if len(data) > 2:  # a letter of two bytes; longer characters and U+0080 to U+00BF may be white space
             visible[1:] |= (before[1:] >= 0x80) & (before[1:] < 0xC0) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
-        begins = np.zeros(len(data), bool)
-        begins[1:] = visible & SPACE[now]
-        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        return np.flatnonzero(begins)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many of them each text has."""
-        rows = len(offsets) - 1
-        if not len(data):
-            return np.empty(0, np.uint32), np.zeros(rows, np.int64)
-        start = self.cuts(data, offsets)
-        end = np.append(start[1:], len(data))
-        hashes = span_hashes(prefix_hashes(_values(data)), start, end)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMORY:
-            self.clear()
-        spot = np.searchsorted(self.keys, distinct)
-        known = spot < len(self.keys)
-        known[known] = self.keys[spot[known]] == distinct[known]
-        if not known.all():
-            self._learn(data, distinct[~known], start[first[~known]], end[first[~known]])
-            spot = np.searchsorted(self.keys, distinct)
-        at, size = self.at[spot][which], self.size[spot][which]
-        ends = np.cumsum(size)
-        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
-        row = np.searchsorted(offsets, start, side="right") - 1
-        return ids, np.bincount(row, size, rows).astype(np.int64)
-
-    def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        raw = data.tobytes()
-        pieces = [raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        return visible & SPACE[now]
+
+    def tokenize(self, pieces: list[str], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Many pieces in one text cost the library less than many texts; a cut before white space keeps them apart.
         apart = np.array([p[:1].isspace() for p in pieces], bool)
         apart[1:] &= ~np.array([p[-1:].isspace() for p in pieces[:-1]], bool)
         chars = np.array([len(p) for p in pieces], np.int64)
-        heads = np.flatnonzero(~apart | (np.arange(len(pieces)) % 64 == 0))
-        texts = ["".join(pieces[h:t]) for h, t in zip(heads.tolist(), [*heads[1:].tolist(), len(pieces)], strict=True)]
+        first = np.flatnonzero(~apart | (np.arange(len(pieces)) % 64 == 0))
+        texts = ["".join(pieces[h:t]) for h, t in zip(first.tolist(), [*first[1:].tolist(), len(pieces)], strict=True)]
         before = np.concatenate(([0], np.cumsum(chars)))
-        size, pool = np.zeros(len(keys), np.int64), [self.pool]
+        size, found = np.zeros(len(pieces), np.int64), []
         for i in range(0, len(texts), 64):
             encoded = self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)
-            pool.extend(np.array(x.ids, np.uint32) for x in encoded)
-            for h, x in zip(heads[i : i + 64].tolist(), encoded, strict=True):
+            found.extend(np.array(x.ids, np.uint32) for x in encoded)
+            for h, x in zip(first[i : i + 64].tolist(), encoded, strict=True):
                 ends = np.fromiter(chain.from_iterable(x.offsets), np.int64).reshape(-1, 2)[:, 1]
                 np.add.at(size, np.searchsorted(before, before[h] + ends) - 1, 1)
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate(pool)
-        into = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
+        return size, np.concatenate(found)
 
 
 _encoders: dict[str, Encoder] = {}
