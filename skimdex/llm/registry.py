@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
+    "op1_source_mixing": ("mixing", "op1"),
     "op2_token_files": ("token_files", "op2"),
     "op3_simhash_dedup": ("simhash", "op3"),
     "op6_sentencepiece": ("sentencepiece_codec", "op6"),
@@ -15,7 +16,9 @@ _WHERE = {
     "op9_language_id": ("langid", "op9"),
     "op10_toxicity": ("toxicity", "op10"),
 }
-_SQL: dict[str, tuple[str, str]] = {}
+_SQL: dict[str, tuple[str, str]] = {
+    "op1_source_mixing": ("mixing", "SQL"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
