@@ -11,6 +11,7 @@ _WHERE = {
     "op1_source_mixing": ("mixing", "op1"),
     "op2_token_files": ("token_files", "op2"),
     "op3_simhash_dedup": ("simhash", "op3"),
+    "op5_line_dedup": ("line_dedup", "op5"),
     "op6_sentencepiece": ("sentencepiece_codec", "op6"),
     "op8_quality_rules": ("quality", "op8"),
     "op9_language_id": ("langid", "op9"),
@@ -18,6 +19,7 @@ _WHERE = {
 }
 _SQL: dict[str, tuple[str, str]] = {
     "op1_source_mixing": ("mixing", "SQL"),
+    "op5_line_dedup": ("line_dedup", "SQL"),
 }
 
 
