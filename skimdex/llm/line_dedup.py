@@ -145,9 +145,13 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def deduped_documents(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """``docs`` with the texts that ``dedup`` leaves, in the same columns; rows that lost every line are gone."""
+    """``docs`` with the texts that ``dedup`` leaves, in the same columns (n_chars follows the text).
+
+    Rows that lost every line are gone; rows that had none stay.
+    """
     out = dedup(docs, min_run).where("n_removed < n_lines or n_removed = 0")
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 SQL = """
