@@ -13,6 +13,7 @@ _WHERE = {
     "op3_simhash_dedup": ("simhash", "op3"),
     "op5_line_dedup": ("line_dedup", "op5"),
     "op6_sentencepiece": ("sentencepiece_codec", "op6"),
+    "op7_nearest_neighbours": ("ann", "op7"),
     "op8_quality_rules": ("quality", "op8"),
     "op9_language_id": ("langid", "op9"),
     "op10_toxicity": ("toxicity", "op10"),
