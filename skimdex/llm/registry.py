@@ -11,6 +11,7 @@ _WHERE = {
     "op1_source_mixing": ("mixing", "op1"),
     "op2_token_files": ("token_files", "op2"),
     "op3_simhash_dedup": ("simhash", "op3"),
+    "op4_suffix_dedup": ("substring_dedup", "op4"),
     "op5_line_dedup": ("line_dedup", "op5"),
     "op6_sentencepiece": ("sentencepiece_codec", "op6"),
     "op7_nearest_neighbours": ("ann", "op7"),
@@ -20,6 +21,7 @@ _WHERE = {
 }
 _SQL: dict[str, tuple[str, str]] = {
     "op1_source_mixing": ("mixing", "SQL"),
+    "op4_suffix_dedup": ("substring_dedup", "op4"),
     "op5_line_dedup": ("line_dedup", "SQL"),
 }
 
