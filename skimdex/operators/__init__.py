@@ -1,0 +1 @@
+"""Predicates, intervals, index choice, statistics, scans and index-order strategies."""
