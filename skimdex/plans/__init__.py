@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import indexed, relational
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey between 10 and 20")
+    """A range on an indexed key."""
+    return indexed.queries()["btree_range"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return indexed.queries() | relational.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return indexed.oracle_sql() | relational.oracle_sql()
