@@ -55,7 +55,7 @@ FILTERS: dict[str, tuple[str, str, str, dict]] = {
     "btree_is_null": ("orders", "nk is null", _O, {}),
     "btree_is_not_null": ("orders", "nk is not null and o_orderkey < 50", _O, {}),
     "btree_null_mixed": ("orders", "nk is null or nk = 3", _O, {}),
-    "btree_prefix": ("part", "p_name like 'a%'", "p_partkey, p_name", {}),
+    "btree_prefix": ("part", "p_name like 'c%'", "p_partkey, p_name", {}),
     "btree_prefix_and_notnull": ("part", "p_name like 'b%' and p_name is not null", "p_partkey, p_name", {}),
     "btree_desc": ("orders_desc", "o_orderkey between 100 and 200", _O, {}),
     "btree_composite_eq_range": ("lineitem", "l_suppkey = 3 and l_shipdate >= timestamp '1996-01-01 00:00:00'", _L, {}),
@@ -63,7 +63,7 @@ FILTERS: dict[str, tuple[str, str, str, dict]] = {
     "btree_composite_prefix": ("orders", "o_orderpriority like '1%' and o_custkey < 20", _O, {}),
     "btree_string": ("customer", "c_name = 'Customer#000000007'", "c_custkey, c_name", {}),
     "btree_double": ("orders_desc", "o_totalprice > 400000.0", _O, {}),
-    "btree_timestamp": ("orders_desc", "o_orderdate < timestamp '1992-03-01 00:00:00'", _O, {}),
+    "btree_timestamp": ("orders_desc", "o_orderdate < timestamp '1995-03-01 00:00:00'", _O, {}),
     "bitmap_eq": ("orders", "o_orderstatus = 'F'", _O, {}),
     "bitmap_in": ("part", "p_size in (1, 2, 49)", "p_partkey, p_size", {}),
     "bitmap_null": ("customer", "c_mktsegment is null or c_mktsegment = 'BUILDING'", "c_custkey, c_mktsegment", {}),
@@ -167,8 +167,8 @@ def _semi(residual: str | None, kind: str) -> Callable[[SparkSession, str], Data
     return run
 
 
-def _grouped(**aggregates) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: prepared(spark, sf, "lineitem").group_by("l_suppkey between 2 and 9", "l_suppkey", **aggregates)
+def _grouped(**aggregates: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: prepared(spark, sf, "lineitem").group_by("l_suppkey between 2 and 9", "l_suppkey", **{n: F.expr(a) for n, a in aggregates.items()})
 
 
 _GROUP = "select l_suppkey, {} from lineitem where l_suppkey between 2 and 9 group by l_suppkey"
@@ -177,7 +177,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "rowid_fetch_multi": (_rows_mode, f"select {_O} from orders where o_custkey between 10 and 60 and o_orderstatus = 'F'"),
     "rowid_fetch_btree": (_rows_btree, f"select {_O} from orders where o_orderkey in (1, 5, 32, 33)"),
     "disabled_index": (_disabled, f"select {_O} from orders where o_custkey = 12"),
-    "ddl_show": (_show, "select * from (values ('orders', 'by_customer', 0, 'o_custkey', 'A', 'BTREE', true), ('orders', 'by_status', 0, 'o_orderstatus', 'A', 'BITMAP', false), ('orders', 'by_null', 0, 'nk', 'A', 'BTREE', true), ('orders', 'by_priority', 0, 'o_orderpriority', 'A', 'BTREE', true), ('orders', 'by_priority', 1, 'o_custkey', 'A', 'BTREE', true)) t(\"table\", key_name, seq_in_index, column_name, collation, index_type, enabled)"),
+    "ddl_show": (_show, "select * from (values ('orders', 'by_customer', 0, 'o_custkey', 'A', 'BTREE', true), ('orders', 'by_status', 0, 'o_orderstatus', 'A', 'BITMAP', false), ('orders', 'by_null', 0, 'nk', 'A', 'BTREE', true), ('orders', 'by_priority', 0, 'o_orderpriority', 'A', 'BTREE', true), ('orders', 'by_priority', 1, 'o_custkey', 'A', 'BTREE', true)) t(\"table\", key_name, seq_in_index, column_name, \"collation\", index_type, enabled)"),
     "ddl_check": (_check, "select '' as line where false"),
     "append_no_refresh": (_appended(False), "select o_orderkey, o_custkey from orders where o_custkey between 10 and 20"),
     "append_refresh": (_appended(True), "select o_orderkey, o_custkey from orders where o_custkey between 10 and 20"),
@@ -189,9 +189,9 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "semi_distinct": (_semi(None, "semi"), "select o_orderkey, o_custkey from orders where o_custkey in (select o_orderkey from orders where o_orderkey < 40)"),
     "semi_right_filter": (_semi("o_orderstatus = 'F'", "semi"), "select o_orderkey, o_custkey from orders where o_custkey in (select o_orderkey from orders where o_orderkey < 40 and o_orderstatus = 'F')"),
     "anti_join": (_semi(None, "anti"), "select o_orderkey, o_custkey from orders where o_orderkey not in (select o_orderkey from orders where o_orderkey < 14000)"),
-    "group_min_max": (_grouped(low=F.min("l_quantity"), high=F.max("l_quantity")), _GROUP.format("min(l_quantity) as low, max(l_quantity) as high")),
-    "group_std_avg": (_grouped(mean=F.round(F.avg("l_quantity"), 6), spread=F.round(F.stddev("l_quantity"), 6)), _GROUP.format("round(avg(l_quantity), 6) as mean, round(stddev(l_quantity), 6) as spread")),
-    "group_count_sum": (_grouped(n=F.count("*"), cents=F.round(F.sum(F.col("l_extendedprice") * 100)).cast("long")), _GROUP.format("count(*) as n, cast(round(sum(l_extendedprice * 100)) as bigint) as cents")),
+    "group_min_max": (_grouped(low="min(l_quantity)", high="max(l_quantity)"), _GROUP.format("min(l_quantity) as low, max(l_quantity) as high")),
+    "group_std_avg": (_grouped(mean="round(avg(l_quantity), 6)", spread="round(stddev(l_quantity), 6)"), _GROUP.format("round(avg(l_quantity), 6) as mean, round(stddev(l_quantity), 6) as spread")),
+    "group_count_sum": (_grouped(n="count(*)", cents="cast(round(sum(l_extendedprice * 100)) as bigint)"), _GROUP.format("count(*) as n, cast(round(sum(l_extendedprice * 100)) as bigint) as cents")),
     "count_from_index": (lambda spark, sf: prepared(spark, sf, "lineitem").count_by_key("l_suppkey < 20", "l_suppkey"), "select l_suppkey, count(*) as n from lineitem where l_suppkey < 20 group by l_suppkey"),
     "first_row_per_key": (lambda spark, sf: prepared(spark, sf, "orders").first_rows("o_custkey < 30", "o_custkey", 2).groupBy("o_custkey").agg(F.count("*").alias("n")), "select o_custkey, least(count(*), 2) as n from orders where o_custkey < 30 group by o_custkey"),
     "join_inner_filtered": (lambda spark, sf: prepared(spark, sf, "orders").filter("o_custkey between 10 and 60").join(spark.read.parquet(f"{sf}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n")), "select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey where o_custkey between 10 and 60 group by c_mktsegment"),
