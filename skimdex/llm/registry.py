@@ -21,7 +21,6 @@ _WHERE = {
 }
 _SQL: dict[str, tuple[str, str]] = {
     "op1_source_mixing": ("mixing", "SQL"),
-    "op4_suffix_dedup": ("substring_dedup", "op4"),
     "op5_line_dedup": ("line_dedup", "SQL"),
 }
 
