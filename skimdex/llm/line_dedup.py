@@ -35,8 +35,8 @@ def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: F.xxhash64(x))).alias("pos", "id"))
 
 
-def ranked(rows: DataFrame, by: list[str], rank: str = "rank", count: str = "count") -> DataFrame:
-    """``rows`` with the number of rows before theirs in the order of ``by``, and of rows equal in ``by``."""
+def ranks(rows: DataFrame, by: list[str], rank: str = "rank", count: str = "count") -> DataFrame:
+    """For each distinct ``by`` of ``rows``: the number of rows before it in their order, and of rows equal to it."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("c"))
     ranged = counts.repartitionByRange(parts(rows.sparkSession), *by).sortWithinPartitions(*by)
     schema = counts.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
@@ -52,8 +52,7 @@ def ranked(rows: DataFrame, by: list[str], rank: str = "rank", count: str = "cou
     local = written(ranged.mapInArrow(run, f"{schema.replace(',', ', ')}, local long, part int"), "ranks")
     totals = local.groupBy("part").agg(F.sum("c").alias("n"))  # one row a partition
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    ranks = local.join(F.broadcast(bases), "part").select(*by, (F.col("base") + F.col("local")).alias(rank), F.col("c").alias(count))
-    return rows.join(ranks, by)
+    return local.join(F.broadcast(bases), "part").select(*by, (F.col("base") + F.col("local")).alias(rank), F.col("c").alias(count))
 
 
 def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
@@ -62,7 +61,7 @@ def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
     A shorter suffix ends in a mark below all ids. Without ``depth`` the rounds go on until nothing changes:
     the whole suffix array, where only suffixes that are equal to their ends share a rank.
     """
-    now = written(ranked(lines, ["id"]).select("doc", "pos", "rank", "count"), "suffixes")
+    now = written(lines.join(ranks(lines, ["id"]), "id").select("doc", "pos", "rank", "count"), "suffixes")
     reached = 1
     while depth is None or reached < depth:
         shared = now.where("count > 1")
@@ -71,10 +70,12 @@ def suffix_ranks(lines: DataFrame, depth: int | None = None) -> DataFrame:
         ahead = reached if depth is None else min(reached, depth - reached)
         then = now.select("doc", (F.col("pos") - ahead).alias("pos"), F.col("rank").alias("then"))
         pairs = shared.join(then, shared.doc.eqNullSafe(then.doc) & (shared.pos == then.pos), "left").select(shared.doc, shared.pos, "rank", F.coalesce("then", F.lit(END)).alias("then"))
-        finer = ranked(pairs, ["rank", "then"], "order", "count")
-        # Among all shared suffixes; within one old rank the differences are those of the new order.
-        least = finer.groupBy("rank").agg(F.min("order").alias("least"))
-        finer = finer.join(least, "rank").select("doc", "pos", (F.col("rank") + F.col("order") - F.col("least")).alias("rank"), "count")
+        # Counted among all shared suffixes; within one old rank the differences are those of the new order.
+        # What is grouped is written before it is joined: a join of two plain shuffles can split a hot rank.
+        order = ranks(pairs, ["rank", "then"], "order", "count")
+        least = written(order.groupBy("rank").agg(F.min("order").alias("least")), "least")
+        order = order.join(least, "rank").select(F.col("rank").alias("old"), F.col("then").alias("next"), (F.col("rank") + F.col("order") - F.col("least")).alias("finer"), "count")
+        finer = pairs.join(order, (pairs.rank == order.old) & (pairs.then == order.next)).select("doc", "pos", F.col("finer").alias("rank"), "count")
         before = now
         now = written(finer.union(before.where("count = 1")), "suffixes")
         reached += ahead
@@ -97,7 +98,7 @@ def repeated_runs(docs: DataFrame, min_run: int = 2, text: str = "text", key: st
     size = suffixes.groupBy("doc").agg((F.max("pos") + 1).alias("lines"))
     place = F.struct("doc", "pos")
     shared = suffixes.where("count > 1")
-    first = shared.groupBy("rank").agg(F.min(place).alias("first"))
+    first = written(shared.groupBy("rank").agg(F.min(place).alias("first")), "firsts")
     later = shared.join(first, "rank").where(place > F.col("first")).select(F.col("doc").alias("d"), "pos")
     whole = later.join(size, later.d.eqNullSafe(size.doc)).where(F.col("pos") + min_run <= F.col("lines"))
     return whole.groupBy("doc").agg(F.collect_set("pos").alias("places"))  # at most a document's lines
