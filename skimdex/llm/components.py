@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined before it is shuffled) and an equi-join whose hot keys the
-adaptive planner can split; no group is gathered, and nothing but counts reaches the driver.
+adaptive planner can split (minima are written first, as it splits joins of plain shuffles only); no group is
+gathered, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -19,14 +20,14 @@ def _both(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to the least of the node and its neighbours."""
     both = _both(links)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
@@ -44,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     now = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = _digest(now)
     while known[0]:
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(written(_large_star(now), "links")))
         if (found := _digest(now)) == known:
             break
         known = found

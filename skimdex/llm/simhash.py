@@ -237,7 +237,8 @@ def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, ta
     distinct = prints.groupBy(*names).agg(F.min("k").alias("least")).withColumn("node", node)
     links = covered_links(distinct, radius, hot) if lanes == 1 else wide_links(distinct, lanes, radius, tables, bits)
     rooted = distinct.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     lookup = rooted.join(named, "root").select(F.col("node").alias("n"), "component_id")
     return prints.withColumn("n", node).join(lookup, "n").select(F.col("k").alias(key), *names, "component_id")
 
