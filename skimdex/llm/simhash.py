@@ -13,6 +13,7 @@ free bits are cut into r+1 parts, one of which any pair within the radius shares
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .components import components
 
 #: Fingerprints of one bucket that a task links by itself when the bucket can still be split.
 HOT = 4096
+#: The same for buckets of sampled bits, where each level that splits them takes so many bits more.
+WIDE_HOT, FINER_BITS = 1024, 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SIGNED = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -192,36 +195,63 @@ def covered_links(prints: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
         deeper = buckets.join(over, ["mask", "bucket"]).join(F.broadcast(finer), "mask")  # finer: 31 * 5**depth rows
         buckets = checkpointed(deeper.select("node", "f0", F.col("sub").alias("mask"), F.col("f0").bitwiseAND(F.col("sub")).alias("bucket")))
         masks = sorted({_SIGNED(s) for m in masks for s in submasks(m % (1 << 64), radius + 1)})
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return reduce(DataFrame.union, found)
 
 
 def sampled_masks(tables: int, bits: int, lanes: int) -> list[list[int]]:
     """For each table one mask a lane: ``bits`` of all the bits, dealt so that tables use every bit equally often."""
     width, rng = 64 * lanes, np.random.default_rng(20160110)
     order = np.concatenate([rng.permutation(width) for _ in range(-(-tables * bits // width))])
-    out = []
-    for t in range(tables):
-        chosen = order[t * bits : (t + 1) * bits]
-        out.append([_SIGNED(int(sum(1 << int(i % 64) for i in set(chosen.tolist()) if i // 64 == lane))) for lane in range(lanes)])
+    return [_lanes(order[t * bits : (t + 1) * bits], lanes) for t in range(tables)]
+
+
+def _lanes(chosen: Iterable[int], lanes: int) -> list[int]:
+    bits = {int(i) for i in chosen}
+    return [_SIGNED(sum(1 << i % 64 for i in bits if i // 64 == lane)) for lane in range(lanes)]
+
+
+def finer_masks(masks: dict[int, list[int]], lanes: int, depth: int) -> dict[int, list[int]]:
+    """Two masks (2m and 2m+1) for each mask m, with ``FINER_BITS`` more bits each."""
+    out = {}
+    for number, mask in masks.items():
+        used = [i for i in range(64 * lanes) if mask[i // 64] >> i % 64 & 1]
+        free = np.setdiff1d(np.arange(64 * lanes), used)
+        for p in (0, 1):
+            more = np.random.default_rng((20160110, depth, number, p)).permutation(free)[:FINER_BITS]
+            out[2 * number + p] = _lanes([*used, *more.tolist()], lanes)
     return out
 
 
-def wide_links(prints: DataFrame, lanes: int, radius: int, tables: int, bits: int) -> DataFrame:
+def wide_links(prints: DataFrame, lanes: int, radius: int, tables: int, bits: int, hot: int = WIDE_HOT) -> DataFrame:
     """``(a, b)``: links that connect ``prints (node, f0, ..)`` which agree under a mask and are within ``radius``.
 
     For radii that no covering family can serve (2**(radius+1) masks): ``tables`` masks of ``bits`` bits each.
     Two fingerprints that differ in a share s of their bits meet with probability 1-(1-(1-s)**bits)**tables.
+    A bucket over ``hot`` rows is dealt out again under two finer masks, and so on until it fits: up to a share
+    of 0.159 two masks of 4 more bits bring a pair together as often as the one did, so the chance stays what it
+    was while buckets stay bounded, however many rows there are.
     """
-    lane = [F.col(f"f{i}") for i in range(lanes)]
-    made = [F.struct(F.lit(t).cast("long").alias("mask"), F.xxhash64(*(c.bitwiseAND(F.lit(m).cast("long")) for c, m in zip(lane, row, strict=True))).alias("bucket")) for t, row in enumerate(sampled_masks(tables, bits, lanes))]
+    spark, lane = prints.sparkSession, [F.col(f"f{i}") for i in range(lanes)]
+    under = lambda row: F.xxhash64(*(c.bitwiseAND(m) for c, m in zip(lane, row, strict=True)))
+    masks = dict(enumerate(sampled_masks(tables, bits, lanes)))
+    made = [F.struct(F.lit(t).cast("long").alias("mask"), under([F.lit(m).cast("long") for m in row]).alias("bucket")) for t, row in masks.items()]
     buckets = prints.select("node", *lane, F.explode(F.array(*made)).alias("at")).select("node", *lane, "at.mask", "at.bucket")
-    return checkpointed(_links(buckets, lanes, radius, None)).select("a", "b")
+    found, depth = [], 0
+    while True:
+        step = written(_links(buckets, lanes, radius, hot), "links")
+        found.append(step.where("kind = 0").select("a", "b"))
+        over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
+        if over.isEmpty():
+            break
+        masks, depth = finer_masks(masks, lanes, depth + 1), depth + 1
+        names = [f"m{i}" for i in range(lanes)]
+        finer = spark.createDataFrame([(number // 2, number, *row) for number, row in masks.items()], f"mask long, sub long, {', '.join(f'{n} long' for n in names)}")
+        deeper = buckets.join(over, ["mask", "bucket"]).join(F.broadcast(finer), "mask")  # finer: tables * 2**depth rows
+        buckets = written(deeper.select("node", *lane, F.col("sub").alias("mask"), under([F.col(n) for n in names]).alias("bucket")), "buckets")
+    return reduce(DataFrame.union, found)
 
 
-def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, tables: int = 64, bits: int = 16, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, tables: int = 64, bits: int = 16, text: str = "text", key: str = "doc_id", hot: int | None = None) -> DataFrame:
     """One row ``(key, f0, .., component_id)`` for each row of ``docs``.
 
     component_id is the smallest key that is reachable over links of at most ``radius`` differing bits, the
@@ -235,7 +265,7 @@ def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, ta
     prints = written(fingerprints(docs, words, lanes, text, key), "fingerprints")
     node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     distinct = prints.groupBy(*names).agg(F.min("k").alias("least")).withColumn("node", node)
-    links = covered_links(distinct, radius, hot) if lanes == 1 else wide_links(distinct, lanes, radius, tables, bits)
+    links = covered_links(distinct, radius, hot or HOT) if lanes == 1 else wide_links(distinct, lanes, radius, tables, bits, hot or WIDE_HOT)
     rooted = distinct.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
