@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, parts, written
+from .common import hashed_sample, mixed, parts, written
 
 TOP, TABLES, HASHES = 10, 6, 4
 #: Vectors that width and probes are fitted on, how many of them ask, and the recall they should reach.
@@ -143,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", ke
     """
     spark = vectors.sparkSession
     rows, asking = usable(vectors, vector, key), usable(queries, vector, key)
-    sample = rows.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS).toArrow().column("v").combine_chunks()
+    sample = hashed_sample(rows, SAMPLE_ROWS, "k").toArrow().column("v").combine_chunks()
     blocks = sorted(_matrix(sample), key=lambda b: -len(b[0])) if len(sample) else []
     index = fit(blocks[0][1], recall) if blocks else Index(1.0, 1)
     kind = vectors.schema[vector].dataType.simpleString()

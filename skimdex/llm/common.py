@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at once; one longer text is handled alone.
 CHUNK_BYTES = 2 << 20
@@ -52,6 +53,19 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``: those of the least XXH64 of ``keys``, ties in the order of the keys.
+
+    A count first tells below which hash they lie, so that no more than about ``rows`` meet in one task.
+    """
+    total = df.count()
+    h = F.xxhash64(*keys)
+    if total > rows:
+        share = min(1.0, (rows + 8 * rows**0.5 + 50) / total)
+        df = df.where(h <= min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+    return df.orderBy(h, *keys).limit(rows)
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows end to end, and each row's offsets in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

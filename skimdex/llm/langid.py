@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat
+from .common import chunks, flat, hashed_sample
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 16
 _SPAN = max(WIDTHS)
@@ -113,12 +113,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: str = "lang", key: str = "doc_id") -> ByteNet | None:
-    """A network fitted on at most ``rows`` of the rows that aren't held out and have a label and a text.
+    """A network fitted on at most ``rows`` of the rows that aren't held out and have a label; those without text say nothing.
 
-    None if there is no such row.
+    None if no row is left.
     """
-    known = docs.where(~held_out(key) & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).cast("string").alias("t"), F.col(label).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    sample = known.orderBy("h", "t").limit(rows).select("t", "l").toArrow()
+    known = docs.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).cast("string").alias("t"))
+    sample = hashed_sample(known, rows, "k", "l").where(F.length("t") > 0).select("t", "l").toArrow()
     if not sample.num_rows:
         return None
     labels = sample.column("l").to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, chunks, flat, mixed, prefix_hashes, span_hashes
+from .common import BYTE_VALUE, chunks, flat, hashed_sample, mixed, prefix_hashes, span_hashes
 
 #: Most labelled rows that a chain is fitted on, in the order of a hash of their ids; features it keeps; folds.
 SAMPLE_ROWS, FEATURES, FOLDS = 6000, 512, 5
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     """
     names = list(categories)
     known = labels.select(F.col(key).alias("k"), *(c.cast("double").alias(n) for n, c in categories.items())).dropna()
-    sample = known.orderBy(F.xxhash64("k"), *names).limit(rows)  # bounded, so it can be broadcast
+    sample = hashed_sample(known, rows, "k", *names)  # bounded, so it can be broadcast
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
