@@ -25,8 +25,8 @@ class PieceMemory:
         """For each byte but the first, whether a piece may begin there."""
         raise NotImplementedError
 
-    def tokenize(self, pieces: list[str], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece has, and all the ids."""
+    def tokenize(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece data[start:end] has, and all the ids."""
         raise NotImplementedError
 
     def clear(self) -> None:
@@ -63,8 +63,7 @@ class PieceMemory:
         return ids, np.bincount(row, size, rows).astype(np.int64)
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
-        raw = data.tobytes()
-        size, ids = self.tokenize([raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)], head)
+        size, ids = self.tokenize(data, start, end, head)
         at = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate((self.pool, ids))
         into = np.searchsorted(self.keys, keys)

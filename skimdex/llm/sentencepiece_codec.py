@@ -145,8 +145,9 @@ class Codec(PieceMemory):
             return np.zeros(len(data) - 1, bool)
         return (data[1:] == 0x20) & (data[:-1] != 0x20) & (data[:-1] != 0x81)  # 81: perhaps a mark's last byte
 
-    def tokenize(self, pieces: list[str], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = [viterbi(self.v, (MARK if head else "") + piece.replace(" ", MARK)) for piece, head in zip(pieces, heads.tolist(), strict=True)]
+    def tokenize(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [viterbi(self.v, (MARK if head else "") + raw[s:e].decode().replace(" ", MARK)) for s, e, head in zip(start.tolist(), end.tolist(), heads.tolist(), strict=True)]
         return np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.uint32)
 
     def decode(self, ids: list[int]) -> str:

@@ -24,6 +24,14 @@ from .common import SPACE, chunks, flat, parts, shared_root
 from .pieces import PieceMemory
 
 
+def _visible(byte: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether ``byte`` ends a visible ASCII character or a letter of two bytes (``before``: the byte before it).
+
+    Longer characters and U+0080 to U+00BF may be white space.
+    """
+    return (byte > 0x20) & (byte < 0x7F) | (byte >= 0x80) & (byte < 0xC0) & (before >= 0xC3) & (before < 0xE0)
+
+
 class Encoder(PieceMemory):
     """``tokenizers`` encoding of many texts, asking the library once for each distinct piece of them.
 
@@ -41,21 +49,21 @@ class Encoder(PieceMemory):
         super().__init__()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        before, now = data[:-1], data[1:]
-        visible = (before > 0x20) & (before < 0x7F)
-        if len(data) > 2:  # a letter of two bytes; longer characters and U+0080 to U+00BF may be white space
-            visible[1:] |= (before[1:] >= 0x80) & (before[1:] < 0xC0) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
-        return visible & SPACE[now]
+        before = np.concatenate((data[:1], data[:-2]))
+        return _visible(data[:-1], before) & SPACE[data[1:]]
 
-    def tokenize(self, pieces: list[str], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tokenize(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # Many pieces in one text cost the library less than many texts; a cut before white space keeps them apart.
-        apart = np.array([p[:1].isspace() for p in pieces], bool)
-        apart[1:] &= ~np.array([p[-1:].isspace() for p in pieces[:-1]], bool)
-        chars = np.array([len(p) for p in pieces], np.int64)
-        first = np.flatnonzero(~apart | (np.arange(len(pieces)) % 64 == 0))
-        texts = ["".join(pieces[h:t]) for h, t in zip(first.tolist(), [*first[1:].tolist(), len(pieces)], strict=True)]
-        before = np.concatenate(([0], np.cumsum(chars)))
-        size, found = np.zeros(len(pieces), np.int64), []
+        apart = SPACE[data[start]]
+        apart[1:] &= _visible(data[end - 1], data[np.maximum(end - 2, 0)])[:-1]
+        first = np.flatnonzero(~apart | (np.arange(len(start)) % 64 == 0))
+        raw = data.tobytes()
+        slices = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        texts = [b"".join(slices[h:t]).decode() for h, t in zip(first.tolist(), [*first[1:].tolist(), len(start)], strict=True)]
+        begun = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=begun[1:])
+        before = np.concatenate(([0], np.cumsum(begun[end] - begun[start])))
+        size, found = np.zeros(len(start), np.int64), []
         for i in range(0, len(texts), 64):
             encoded = self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)
             found.extend(np.array(x.ids, np.uint32) for x in encoded)
