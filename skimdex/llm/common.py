@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at once; one longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -79,7 +79,10 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches`` that hold at most ``most`` bytes of text, or a single row."""
+    """Slices of ``batches`` that hold at most ``most`` bytes of text, or a single row.
+
+    Arrow's pool gives back what it holds in reserve when a task ends, as workers live on beside the next stage's.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -89,6 +92,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CH
             to = max(at + 1, int(np.searchsorted(ends, floor + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 #: ASCII white space: what separates words everywhere in this subpackage.

@@ -24,6 +24,10 @@ from .common import SPACE, chunks, flat, parts, shared_root
 from .pieces import PieceMemory
 
 
+#: Bytes of text in a pack at most (a longer text is a pack of its own).
+PACK_BYTES = 2 << 20
+
+
 def _visible(byte: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Whether ``byte`` ends a visible ASCII character or a letter of two bytes (``before``: the byte before it).
 
@@ -93,7 +97,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, done = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in chunks(batches, "t"):
+        for batch in chunks(batches, "t", PACK_BYTES):
             ids, sizes = encode(*flat(batch.column("t")))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
