@@ -97,7 +97,7 @@ def test_appended_and_rewritten_files(spark, table):
     assert table.engine.sql("check sindex on t").count() == 3
     table.engine.sql("refresh sindex on t")
     assert table.engine.sql("check sindex on t").count() == 0
-    assert table.filter("a = 103").count() == 5 and table.scan("a = 103")[1].full == 0
+    assert table.filter("a = 103").count() == 5 and table.scan("a = 3")[1].full == 0
     table.write(extra, files=1, mode="overwrite")
     assert table.filter("a = 103").count() == 4
 
