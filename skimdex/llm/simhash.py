@@ -26,8 +26,8 @@ from .components import components
 
 #: Fingerprints of one bucket that a task links by itself when the bucket can still be split.
 HOT = 4096
-#: The same for buckets of sampled bits, where each level that splits them takes so many bits more.
-WIDE_HOT, FINER_BITS = 1024, 4
+#: The same for buckets of sampled bits; larger ones are searched in pairs of blocks of about this size.
+WIDE_HOT = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SIGNED = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -210,45 +210,41 @@ def _lanes(chosen: Iterable[int], lanes: int) -> list[int]:
     return [_SIGNED(sum(1 << i % 64 for i in bits if i // 64 == lane)) for lane in range(lanes)]
 
 
-def finer_masks(masks: dict[int, list[int]], lanes: int, depth: int) -> dict[int, list[int]]:
-    """Two masks (2m and 2m+1) for each mask m, with ``FINER_BITS`` more bits each."""
-    out = {}
-    for number, mask in masks.items():
-        used = [i for i in range(64 * lanes) if mask[i // 64] >> i % 64 & 1]
-        free = np.setdiff1d(np.arange(64 * lanes), used)
-        for p in (0, 1):
-            more = np.random.default_rng((20160110, depth, number, p)).permutation(free)[:FINER_BITS]
-            out[2 * number + p] = _lanes([*used, *more.tolist()], lanes)
-    return out
+def block_pairs(buckets: DataFrame, over: DataFrame, hot: int) -> DataFrame:
+    """The rows of the buckets ``over (mask, bucket)``, dealt out so that any two of one bucket meet again.
+
+    A bucket of n rows is cut into n/``hot`` blocks by hash; each pair of blocks is a bucket of its own, of about
+    2 * ``hot`` rows however large n is. A row is repeated once for each other block.
+    """
+    mine = buckets.join(over, ["mask", "bucket"])
+    sizes = written(mine.groupBy("mask", "bucket").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks")), "sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = mine.join(sizes, ["mask", "bucket"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    return dealt.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def wide_buckets(prints: DataFrame, lanes: int, tables: int, bits: int) -> DataFrame:
+    """``(node, f0, .., mask, bucket)``: each fingerprint under each of the sampled masks."""
+    lane = [F.col(f"f{i}") for i in range(lanes)]
+    under = lambda row: F.xxhash64(*(c.bitwiseAND(F.lit(m).cast("long")) for c, m in zip(lane, row, strict=True)))
+    made = [F.struct(F.lit(t).cast("long").alias("mask"), under(row).alias("bucket")) for t, row in enumerate(sampled_masks(tables, bits, lanes))]
+    return prints.select("node", *lane, F.explode(F.array(*made)).alias("at")).select("node", *lane, "at.mask", "at.bucket")
 
 
 def wide_links(prints: DataFrame, lanes: int, radius: int, tables: int, bits: int, hot: int = WIDE_HOT) -> DataFrame:
     """``(a, b)``: links that connect ``prints (node, f0, ..)`` which agree under a mask and are within ``radius``.
 
     For radii that no covering family can serve (2**(radius+1) masks): ``tables`` masks of ``bits`` bits each.
-    Two fingerprints that differ in a share s of their bits meet with probability 1-(1-(1-s)**bits)**tables.
-    A bucket over ``hot`` rows is dealt out again under two finer masks, and so on until it fits: up to a share
-    of 0.159 two masks of 4 more bits bring a pair together as often as the one did, so the chance stays what it
-    was while buckets stay bounded, however many rows there are.
+    Two fingerprints that differ in a share s of their bits meet with probability 1-(1-(1-s)**bits)**tables,
+    whatever else is in their buckets: one over ``hot`` rows is searched in pairs of blocks, without loss.
     """
-    spark, lane = prints.sparkSession, [F.col(f"f{i}") for i in range(lanes)]
-    under = lambda row: F.xxhash64(*(c.bitwiseAND(m) for c, m in zip(lane, row, strict=True)))
-    masks = dict(enumerate(sampled_masks(tables, bits, lanes)))
-    made = [F.struct(F.lit(t).cast("long").alias("mask"), under([F.lit(m).cast("long") for m in row]).alias("bucket")) for t, row in masks.items()]
-    buckets = prints.select("node", *lane, F.explode(F.array(*made)).alias("at")).select("node", *lane, "at.mask", "at.bucket")
-    found, depth = [], 0
-    while True:
-        step = written(_links(buckets, lanes, radius, hot), "links")
-        found.append(step.where("kind = 0").select("a", "b"))
-        over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
-        if over.isEmpty():
-            break
-        masks, depth = finer_masks(masks, lanes, depth + 1), depth + 1
-        names = [f"m{i}" for i in range(lanes)]
-        finer = spark.createDataFrame([(number // 2, number, *row) for number, row in masks.items()], f"mask long, sub long, {', '.join(f'{n} long' for n in names)}")
-        deeper = buckets.join(over, ["mask", "bucket"]).join(F.broadcast(finer), "mask")  # finer: tables * 2**depth rows
-        buckets = written(deeper.select("node", *lane, F.col("sub").alias("mask"), under([F.col(n) for n in names]).alias("bucket")), "buckets")
-    return reduce(DataFrame.union, found)
+    buckets = wide_buckets(prints, lanes, tables, bits)
+    step = written(_links(buckets, lanes, radius, hot), "links")
+    over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
+    found = step.where("kind = 0").select("a", "b")
+    if over.isEmpty():
+        return found
+    return found.union(written(_links(block_pairs(buckets, over, hot), lanes, radius, None), "links").select("a", "b"))
 
 
 def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, tables: int = 64, bits: int = 16, text: str = "text", key: str = "doc_id", hot: int | None = None) -> DataFrame:

@@ -72,6 +72,24 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == [*range(20), 100, 101]
 
 
+def test_hot_buckets_of_sampled_bits_lose_no_link(spark):
+    r = random.Random(6)
+    base = r.getrandbits(256)
+    rows = [base ^ sum(1 << b for b in r.sample(range(256), 36)) for _ in range(160)]  # about 62 bits apart
+    rows += [x ^ sum(1 << b for b in r.sample(range(256), 44)) for x in rows[:40]]
+    cut = [tuple(simhash._SIGNED(x >> 64 * i & (1 << 64) - 1) for i in range(4)) for x in rows]
+    prints = spark.createDataFrame([(n, *c) for n, c in enumerate(cut)], "node long, f0 long, f1 long, f2 long, f3 long")
+    masks = [sum((m % (1 << 64)) << 64 * i for i, m in enumerate(row)) for row in simhash.sampled_masks(64, 16, 4)]
+    root = list(range(len(rows)))
+    near = [(a, b) for a in root for b in range(a) if (rows[a] ^ rows[b]).bit_count() <= 48 and any(not (rows[a] ^ rows[b]) & m for m in masks)]
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    for hot in (1024, 2):
+        at = {x.node: x.root for x in simhash.components(simhash.wide_links(prints, 4, 48, 64, 16, hot)).collect()}
+        assert [at.get(n, n) for n in range(len(rows))] == root
+
+
 def removed(rows, length):
     seen, out = set(), {}
     for i, t in rows:
