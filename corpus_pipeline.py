@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go; a document that loses every line goes."""
+    """Later copies of runs of two or more lines go, and of single lines of over 50 words; a document that loses every line goes."""
     return line_dedup.deduped_documents(docs)
 
 

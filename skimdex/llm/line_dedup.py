@@ -27,6 +27,8 @@ from .common import parts, written
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 #: The rank of what follows a document's last line.
 END = -1
+#: In ``deduped_documents`` a line of more words than this is a passage, and a run by itself.
+LONG_WORDS = 50
 
 
 def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -104,22 +106,36 @@ def repeated_runs(docs: DataFrame, min_run: int = 2, text: str = "text", key: st
     return whole.groupBy("doc").agg(F.collect_set("pos").alias("places"))  # at most a document's lines
 
 
-def _strip(text: str, places: list[int], min_run: int) -> tuple[str, int, int, int]:
+def repeated_long_lines(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc, singles)``: the numbers of lines of over ``words`` words that have an earlier place, as in ``repeated_runs``."""
+    held = F.filter(F.split(F.col(text).cast("string"), "\n", -1), lambda x: x.rlike(_HAS_WORD))
+    count = lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    long = lambda x: F.when(F.length(x) > 2 * words, count(x) > words).otherwise(F.lit(False))
+    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: F.when(long(x), F.xxhash64(x)))).alias("pos", "id")).where("id is not null")
+    lines = written(lines, "long-lines")
+    place = F.struct("doc", "pos")
+    first = written(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"), "firsts")
+    later = lines.join(first, "id").where(place > F.col("first"))
+    return later.groupBy("doc").agg(F.collect_set("pos").alias("singles"))  # at most a document's lines
+
+
+def _strip(text: str, places: list[int], min_run: int, singles: list[int]) -> tuple[str, int, int, int]:
     """The text without the runs at ``places``; how many lines with a word it had, lost, and in how many runs."""
     lines = text.split("\n")
     held = [i for i, line in enumerate(lines) if line.strip(" \t\n\r\x0b\x0c")]
     gone = np.zeros(len(held) + 1, bool)
     for p in places:
         gone[p : p + min_run] = True
+    gone[np.array(singles, np.int64)] = True
     gone[len(held) :] = False
     drop = {held[i] for i in np.flatnonzero(gone).tolist()}
     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
     return "\n".join(line for i, line in enumerate(lines) if i not in drop), len(held), len(drop), runs
 
 
-def dedup(docs: DataFrame, min_run: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, min_run: int = 2, text: str = "text", key: str = "doc_id", long_words: int | None = None) -> DataFrame:
     """Rows ``(row, text, n_lines, n_removed, n_runs)``: each row of ``docs`` as a struct, and its text without
-    the later copies of runs of ``min_run`` or more lines.
+    the later copies of runs of ``min_run`` or more lines, and of single lines of over ``long_words`` words.
 
     Only lines with a word count and go; blank lines stay. A null text stays null, with no lines. Ties: rows
     that share a doc_id are one place, so such repeats keep or lose their lines together. Other columns of
@@ -127,12 +143,17 @@ def dedup(docs: DataFrame, min_run: int = 2, text: str = "text", key: str = "doc
     """
     runs = repeated_runs(docs, min_run, text, key)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    joined = whole.join(runs, F.col(f"row.{key}").eqNullSafe(runs.doc), "left").select("row", F.col(f"row.{text}").cast("string").alias("t"), "places")
+    if long_words is None:
+        runs = runs.withColumn("singles", F.lit(None).cast("array<int>"))
+    else:
+        both = runs.withColumn("singles", F.lit(None).cast("array<int>")).unionByName(repeated_long_lines(docs, long_words, text, key).withColumn("places", F.lit(None).cast("array<int>")))
+        runs = both.groupBy("doc").agg(F.max("places").alias("places"), F.max("singles").alias("singles"))
+    joined = whole.join(runs, F.col(f"row.{key}").eqNullSafe(runs.doc), "left").select("row", F.col(f"row.{text}").cast("string").alias("t"), "places", "singles")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column("t").to_pylist(), batch.column("places").to_pylist()
-            out = [_strip(t or "", p or [], min_run) for t, p in zip(texts, places, strict=True)]
+            texts, places, singles = (batch.column(c).to_pylist() for c in ("t", "places", "singles"))
+            out = [_strip(t or "", p or [], min_run, s or []) for t, p, s in zip(texts, places, singles, strict=True)]
             kept = [None if t is None else o[0] for t, o in zip(texts, out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3))], ["row", "text", "n_lines", "n_removed", "n_runs"])
 
@@ -148,9 +169,11 @@ def op5(spark, sf_dir: str) -> DataFrame:
 def deduped_documents(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """``docs`` with the texts that ``dedup`` leaves, in the same columns (n_chars follows the text).
 
+    Later copies of a line of over ``LONG_WORDS`` words go even where its neighbours differ.
+
     Rows that lost every line are gone; rows that had none stay.
     """
-    out = dedup(docs, min_run).where("n_removed < n_lines or n_removed = 0")
+    out = dedup(docs, min_run, long_words=LONG_WORDS).where("n_removed < n_lines or n_removed = 0")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -141,6 +141,14 @@ def test_line_dedup(docs):
     assert {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(docs).collect()} == want
 
 
+def test_long_single_lines_that_repeat(spark):
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    rows = [(0, f"a\n{long}\nb"), (1, f"c\n{long}\n\nd"), (2, long), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, f"{long}\ni\n{long}"), (6, None)]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in line_dedup.deduped_documents(df).collect()}
+    assert got == {0: rows[0][1], 1: "c\n\nd", 3: rows[3][1], 4: rows[4][1], 5: "i", 6: None}
+
+
 def test_simple8b_round_trip():
     r = random.Random(5)
     for n in (0, 1, 239, 240, 241, 256, 257, 5000):
