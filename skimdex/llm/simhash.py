@@ -12,7 +12,7 @@ free bits are cut into r+1 parts, one of which any pair within the radius shares
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -231,42 +231,195 @@ def wide_buckets(prints: DataFrame, lanes: int, tables: int, bits: int) -> DataF
     return prints.select("node", *lane, F.explode(F.array(*made)).alias("at")).select("node", *lane, "at.mask", "at.bucket")
 
 
-def wide_links(prints: DataFrame, lanes: int, radius: int, tables: int, bits: int, hot: int = WIDE_HOT) -> DataFrame:
-    """``(a, b)``: links that connect ``prints (node, f0, ..)`` which agree under a mask and are within ``radius``.
+def _far(bits: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits ^ row).sum(1, dtype=np.int64)
 
-    For radii that no covering family can serve (2**(radius+1) masks): ``tables`` masks of ``bits`` bits each.
-    Two fingerprints that differ in a share s of their bits meet with probability 1-(1-(1-s)**bits)**tables,
-    whatever else is in their buckets: one over ``hot`` rows is searched in pairs of blocks, without loss.
+
+def star(bits: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """``(pivot, rows)``: pivots in order, each with all rows within ``radius`` of it that are no earlier pivots.
+
+    A row near a pivot is none itself. Each pair within the radius has a pivot in it or is of two rows near pivots.
     """
-    buckets = wide_buckets(prints, lanes, tables, bits)
-    step = written(_links(buckets, lanes, radius, hot), "links")
-    over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
-    found = step.where("kind = 0").select("a", "b")
-    if over.isEmpty():
-        return found
-    return found.union(written(_links(block_pairs(buckets, over, hot), lanes, radius, None), "links").select("a", "b"))
+    if len(bits) <= 256 and np.count_nonzero(np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int64) <= radius) == len(bits):
+        return []
+    free, out = np.ones(len(bits), bool), []
+    while (rest := np.flatnonzero(free)).size:
+        pivot = int(rest[0])
+        near = np.flatnonzero(_far(bits, bits[pivot]) <= radius)
+        near = near[near != pivot]
+        free[pivot] = free[near] = False
+        if near.size:
+            out.append((pivot, near))
+    return out
+
 
+def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str], hot: int | None = None) -> Iterator[tuple[tuple, np.ndarray | None]]:
+    """Each run of equal ``keys`` with its ``columns`` as a matrix of 64 bits, or None for over ``hot`` rows."""
+    open_at, held, count = None, [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        rows = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], 1)
+        cuts = (np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()
+        for s, e in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            if (now := tuple(at[s].tolist())) != open_at:
+                if open_at is not None:
+                    yield open_at, None if hot is not None and count > hot else np.concatenate(held)
+                open_at, held, count = now, [], 0
+            count += e - s
+            if hot is not None and count > hot:
+                held = []
+            else:
+                held.append(rows[s:e])
+    if open_at is not None:
+        yield open_at, None if hot is not None and count > hot else np.concatenate(held)
+
+
+def _stars(lanes: int, radius: int, hot: int | None):
+    """Kind 0: pivot and row of a star. Kind 1: mask and bucket over ``hot``. Kind 2: a bucket's name and a row near a pivot in it."""
+    columns = ["node", *(f"f{i}" for i in range(lanes))]
 
-def classes(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, tables: int = 64, bits: int = 16, text: str = "text", key: str = "doc_id", hot: int | None = None) -> DataFrame:
-    """One row ``(key, f0, .., component_id)`` for each row of ``docs``.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, np.ndarray, int]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = np.concatenate([np.full(len(a), kind, np.int32) for a, _, kind in out])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)] + [pa.array(kinds)], ["a", "b", "kind"])
+
+        for (mask, bucket), rows in _grouped(batches, ["mask", "bucket"], columns, hot):
+            if rows is None:
+                out.append((np.array([mask]), np.array([bucket]), 1))
+            elif len(rows) > 1 and (found := star(rows[:, 1:], radius)):
+                node = rows[:, 0].view(np.int64)
+                out.extend((np.full(len(near), node[p]), node[near], 0) for p, near in found)
+                near = np.unique(np.concatenate([n for _, n in found]))
+                if len(near) > 1:
+                    name = mixed(np.array([mask], np.int64).view(np.uint64) + mixed(np.array([bucket], np.int64).view(np.uint64))).view(np.int64)
+                    out.append((np.repeat(name, len(near)), node[near], 2))
+                size += sum(len(n) for _, n in found)
+            if size > 50_000 or len(out) > 20_000:
+                yield flush()
+                out, size = [], 0
+        if out:
+            yield flush()
+
+    return run
+
+
+def _rest(lanes: int, radius: int):
+    """Pairs within ``radius`` in each run of one group that have different roots."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, ["grp"], ["node", "root", *(f"f{i}" for i in range(lanes))]):
+            node, root, bits = rows[:, 0].view(np.int64), rows[:, 1], rows[:, 2:]
+            for i in range(len(rows) - 1):
+                near = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_far(bits[i + 1 :], bits[i]) <= radius))
+                if near.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), node[i])), pa.array(node[near])], ["a", "b"])
+
+    return run
+
+
+def sketches(docs: DataFrame, words: int, lanes: int, shingles: bool = False) -> DataFrame:
+    """``(k, node, h, f0, ..)``: the hash of the set of a text's shingles, of the text, and the set's fingerprint.
+
+    With ``shingles``: ``(node, shingles)``, the sorted hashes of the set themselves.
+    """
+    lane = [f"f{i}" for i in range(lanes)]
+    names = ["node", "shingles"] if shingles else ["k", "node", "h", *lane]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "t"):
+            hashes = [np.unique(shingle_hashes(t, words)) for t in batch.column("t").cast(pa.large_binary()).to_pylist()]
+            sets = [h.tobytes() for h in hashes]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in sets], np.uint64).view(np.int64))
+            if shingles:
+                yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], names)
+            else:
+                bits = np.array([fingerprint(h, lanes) for h in hashes], np.uint64).reshape(-1, lanes)
+                cut = [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(lanes)]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), node, batch.column("h"), *cut], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = "node long, shingles binary" if shingles else f"k {kind}, node long, h long, " + ", ".join(f"{c} long" for c in lane)
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("t")).withColumn("h", F.xxhash64("t")).mapInArrow(run, shape)
+
+
+def shingle_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, shingles)`` of ``nodes (node)``: one text of each, by ``distinct (node, h, ..)``, is shingled again."""
+    asked = written(distinct.join(nodes.distinct(), "node").select("h"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
+    texts = docs.select("doc_id", "text").join(asked, F.xxhash64(F.col("text").cast("string")) == asked["h"], "left_semi")
+    made = written(sketches(texts, words, 1, True), "sets")
+    return written(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of 4/5 or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            n = len(p) + len(q)
+            small = min(len(p), len(q))
+            keep.append(9 * small >= 4 * n and 9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * n)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct ``pairs (a, b)`` whose ``sets (node, shingles)`` have a similarity of 0.8 or more."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "verified")
+
+
+def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], lanes: int, radius: int, tables: int, bits: int, hot: int = WIDE_HOT) -> DataFrame:
+    """``(a, b)``: links of similarity 0.8 or more that connect what such pairs connect, of pairs that meet.
+
+    ``distinct (node, f0, ..)`` are the fingerprints, ``sets_of`` gives the shingle sets of a table of nodes.
+    A pair meets if it agrees under a mask and is within ``radius``: two fingerprints that differ in a share s of
+    their bits agree with probability 1-(1-(1-s)**bits)**tables, whatever else is in their buckets, as one over
+    ``hot`` rows is searched in pairs of blocks. In each bucket the pairs of a star are verified first; then all
+    its other pairs, but for those that a verified pivot connects already.
+    """
+    spark, lane = distinct.sparkSession, [f"f{i}" for i in range(lanes)]
+    deal = lambda rows, most: written(rows.repartition(parts(spark), "mask", "bucket").sortWithinPartitions("mask", "bucket", "node").mapInArrow(_stars(lanes, radius, most), "a long, b long, kind int"), "stars")
+    buckets = wide_buckets(distinct, lanes, tables, bits)
+    step = deal(buckets, hot)
+    over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
+    if not over.isEmpty():
+        step = step.where("kind <> 1").union(deal(block_pairs(buckets, over, hot), None))
+    stars = step.where("kind = 0").select("a", "b")
+    sets = sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")))  # other pairs are of these rows too
+    first = verified(stars, sets)
+    named = written(first.groupBy("b").agg(F.min("a").alias("root")), "named")
+    near = step.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
+    near = written(near.join(named, near.node == named.b, "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "near")
+    mixed_groups = written(near.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp"), "groups")
+    rest = near.join(mixed_groups, "grp").join(distinct, "node").select("grp", "node", "root", *lane)
+    rest = rest.repartition(parts(spark), "grp").sortWithinPartitions("grp").mapInArrow(_rest(lanes, radius), "a long, b long")
+    return first.union(verified(rest, sets))
+
+
+def classes(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """One row ``(key, f0, component_id)`` for each row of ``docs``.
 
     component_id is the smallest key that is reachable over links of at most ``radius`` differing bits, the
-    row's own included. With one lane of 64 bits the search is exact (``covered_links``); with more lanes it
-    is ``wide_links``. Null and empty texts share the fingerprint zero and are linked like any other. Rows
-    whose key is null keep a row and never name a component unless no other key is in it (then it is null).
+    row's own included; the search is exact (``covered_links``). Null and empty texts share the fingerprint
+    zero and are linked like any other. Rows whose key is null keep a row and never name a component unless no other key is in it (then it is null).
     Repeated rows give repeated rows. Other columns of ``docs``, whatever their names, are not looked at. An
     empty table gives an empty result.
     """
-    names = [f"f{i}" for i in range(lanes)]
-    prints = written(fingerprints(docs, words, lanes, text, key), "fingerprints")
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    distinct = prints.groupBy(*names).agg(F.min("k").alias("least")).withColumn("node", node)
-    links = covered_links(distinct, radius, hot or HOT) if lanes == 1 else wide_links(distinct, lanes, radius, tables, bits, hot or WIDE_HOT)
+    prints = written(fingerprints(docs, words, 1, text, key), "fingerprints")
+    distinct = prints.groupBy("f0").agg(F.min("k").alias("least")).withColumn("node", F.col("f0"))
+    links = covered_links(distinct, radius, hot)
     rooted = distinct.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     lookup = rooted.join(named, "root").select(F.col("node").alias("n"), "component_id")
-    return prints.withColumn("n", node).join(lookup, "n").select(F.col("k").alias(key), *names, "component_id")
+    return prints.withColumn("n", F.col("f0")).join(lookup, "n").select(F.col("k").alias(key), "f0", "component_id")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -275,14 +428,22 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 48, lanes: int = 4, tables: int = 64, bits: int = 16) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, radius: int = 72, lanes: int = 4, tables: int = 64, bits: int = 16, hot: int = WIDE_HOT) -> DataFrame:
     """``docs`` without the later documents of each near-duplicate group (the smallest doc_id stays).
 
-    Five-word shingles and a similarity of 0.8 or more: two sets of Jaccard similarity 0.8 have a cosine of
-    about 0.89, hence differ in 15.2 % of SimHash bits (39 of 256, deviation 5.7); 48 bits take in nineteen of
-    twenty such pairs, and each shared bucket is checked on all 256 bits. Rows with one doc_id stay or go
-    together. Texts without a word are no copies of anything and stay, and so do rows without a doc_id.
+    A group is connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Fingerprints only propose pairs: at 0.8 the cosine is about 0.89, hence 15.2 % of SimHash bits differ (39 of
+    256, deviation 5.7), and 72 bits are nearly six deviations beyond. Each proposed pair is held against the
+    shingles themselves. Rows with one doc_id stay or go together. Texts without a word are no copies of
+    anything and stay, and so do rows without a doc_id.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    later = classes(known.select("doc_id", "text"), words, radius, lanes, tables, bits).where("doc_id <> component_id").select("doc_id").distinct()
+    prints = written(sketches(known, words, lanes), "sketches")
+    distinct = written(prints.groupBy("node").agg(F.min("h").alias("h"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(lanes))), "distinct")
+    links = similar_links(distinct, lambda nodes: shingle_sets(known, distinct, nodes, words), lanes, radius, tables, bits, hot)
+    roots = components(links).withColumnRenamed("node", "n")
+    rooted = prints.join(roots, prints.node == F.col("n"), "left").select("k", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("k").alias("least")), "named")
+    later = rooted.join(named, "root").where("k <> least").select(F.col("k").alias("doc_id")).distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

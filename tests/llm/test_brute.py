@@ -72,13 +72,32 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == [*range(20), 100, 101]
 
 
+def test_near_dedup_removes_what_is_similar_and_nothing_else(spark):
+    r, made = random.Random(7), []
+    for _ in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(100)]
+        made.append(base)
+        for first, n in ((20, 6), (60, 7), (40, 12)):  # similarity 0.81, 0.79 and 0.71
+            made.append([*base[:first], *(f"n{r.randrange(9**9)}" for _ in range(n)), *base[first + n :]])
+    sets = [{tuple(w[j : j + 5]) for j in range(96)} for w in made]
+    root = list(range(len(made)))
+    near = [(a, b) for a in root for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in near:
+        root[a] = root[b]
+    gone = {i for i, x in enumerate(root) if x != i}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    for hot in (1024, 2):
+        lost = set(range(len(made))) - {x.doc_id for x in simhash.near_dedup(df, hot=hot).collect()}
+        assert lost <= gone and len(lost) >= 0.95 * len(gone) > 30
+
+
 def test_hot_buckets_of_sampled_bits_lose_no_link(spark):
     r = random.Random(6)
     base = r.getrandbits(256)
     rows = [base ^ sum(1 << b for b in r.sample(range(256), 36)) for _ in range(160)]  # about 62 bits apart
     rows += [x ^ sum(1 << b for b in r.sample(range(256), 44)) for x in rows[:40]]
     cut = [tuple(simhash._SIGNED(x >> 64 * i & (1 << 64) - 1) for i in range(4)) for x in rows]
-    prints = spark.createDataFrame([(n, *c) for n, c in enumerate(cut)], "node long, f0 long, f1 long, f2 long, f3 long")
+    prints = spark.createDataFrame([(n, *c, bytes(8)) for n, c in enumerate(cut)], "node long, f0 long, f1 long, f2 long, f3 long, shingles binary")
     masks = [sum((m % (1 << 64)) << 64 * i for i, m in enumerate(row)) for row in simhash.sampled_masks(64, 16, 4)]
     root = list(range(len(rows)))
     near = [(a, b) for a in root for b in range(a) if (rows[a] ^ rows[b]).bit_count() <= 48 and any(not (rows[a] ^ rows[b]) & m for m in masks)]
@@ -86,7 +105,7 @@ def test_hot_buckets_of_sampled_bits_lose_no_link(spark):
         for a, b in near:
             root[a] = root[b] = min(root[a], root[b])
     for hot in (1024, 2):
-        at = {x.node: x.root for x in simhash.components(simhash.wide_links(prints, 4, 48, 64, 16, hot)).collect()}
+        at = {x.node: x.root for x in simhash.components(simhash.similar_links(prints, lambda nodes: prints.select("node", "shingles"), 4, 48, 64, 16, hot)).collect()}
         assert [at.get(n, n) for n in range(len(rows))] == root
 
 
