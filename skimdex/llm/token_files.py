@@ -49,7 +49,6 @@ class Encoder(PieceMemory):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         super().__init__()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:

@@ -192,6 +192,20 @@ def test_token_files(spark, docs, tmp_path):
     assert {r.doc_id: r.ids for r in token_files.read_tokens(spark, str(tmp_path / "f")).collect()} == {i: w[3] for i, w in want.items()}
 
 
+def test_special_tokens_in_a_text_are_those_of_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from skimdex.llm.common import flat
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library, found = Tokenizer.from_file(path), ["a <|endoftext|> b", "x<|endoftext|>y  <|endoftext|>\n<|endoftext|>", "<|endoftext|> <|endof text|>"]
+    ids, sizes = token_files.Encoder(path)(*flat(pa.array(found)))
+    want = [library.encode(t, add_special_tokens=False).ids for t in found]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 def test_viterbi_is_the_best_split():
     v = sentencepiece_codec.codec(sentencepiece_codec.model_path()).v
     for text in ("▁the▁cat", "▁zzz🙂q", "▁▁▁a", "▁internationalisation▁of"):
