@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of one Arrow batch on its way to a Python worker; both sides hold a batch whole.
+BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +38,39 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that only this application needs; what lies there is deleted when its JVM ends."""
+    home = f"{shared_root(spark)}/skimdex-llm-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _homes.add(home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+_homes: set[str] = set()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes scratch tables (see ``written``) that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by ``BATCH_BYTES`` where they were larger.
+
+    Python workers and the JVM beside them then hold little at once, however long the texts are.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if not (known := conf.get(key, None)) or not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
@@ -44,26 +80,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: columnar, prunable and free of lineage."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+def hashed_sample(df: DataFrame, rows: int, *keys: str, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """At most ``rows`` rows of ``df``: those of the least XXH64 of ``keys``, ties in the order of the keys.
 
-    A count first tells below which hash they lie, so that no more than about ``rows`` meet in one task.
+    A count first tells below which hash they lie, so that no more than about ``rows`` meet in one task. ``cut``
+    may make those rows smaller (one for one, keeping the keys) before they do.
     """
     total = df.count()
     h = F.xxhash64(*keys)
     if total > rows:
         share = min(1.0, (rows + 8 * rows**0.5 + 50) / total)
         df = df.where(h <= min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
-    return df.orderBy(h, *keys).limit(rows)
+    return cut(df).orderBy(h, *keys).limit(rows)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,18 +120,28 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batches`` that hold at most ``most`` bytes of text, or a single row.
 
-    Arrow's pool gives back what it holds in reserve when a task ends, as workers live on beside the next stage's.
+    Memory is given back when a task ends, as workers live on beside the next stage's.
     """
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            floor = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, floor + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                floor = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, floor + most, side="right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        released()
+
+
+def released() -> None:
+    """Gives memory that this process holds in reserve back to the system."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 #: ASCII white space: what separates words everywhere in this subpackage.
@@ -149,6 +198,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """data[start:end] of each pair as an Arrow array over the same bytes; spans are in order and don't overlap.
+
+    Its dictionary encoding compares the bytes themselves, so what it calls equal is equal.
+    """
+    edges = np.empty(2 * len(start) + 1, np.int64)
+    edges[0], edges[1::2], edges[2::2] = 0, start, end
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    return every.take(pa.array(np.arange(1, 2 * len(start), 2)))
+
+
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span of ``data``: two have the same number just if their bytes are equal."""
+    return spans(data, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number; zeros follow its end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each i, whether ``size[i]`` bytes of ``a`` from a_start[i] equal those of ``b`` from b_start[i]."""
+    x, y = _words(a), _words(b)
+    same = (x[a_start] ^ y[b_start]) & _LOW_BYTES[np.minimum(size, 8)] == 0
+    more = np.flatnonzero(same & (size > 8))
+    same[more] = x[a_start[more] + size[more] - 8] == y[b_start[more] + size[more] - 8]
+    more = np.flatnonzero(same & (size > 16))
+    if len(more):
+        i, j, n = a_start[more], b_start[more], size[more].astype(np.int64)
+        ends = np.cumsum(n)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        differ = np.concatenate(([0], np.cumsum(a[np.repeat(i, n) + within] != b[np.repeat(j, n) + within])))
+        same[more] = differ[ends] == differ[ends - n]
+    return same
+
+
 def prefix_hashes(values: np.ndarray) -> np.ndarray:
     """Sums of values[j] * base**-j below each index: a polynomial hash of every prefix, modulo 2**64."""
     out = np.zeros(len(values) + 1, np.uint64)

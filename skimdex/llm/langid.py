@@ -7,15 +7,15 @@ last one padded), and its answer is the softmax of their mean scores, so every b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, hashed_sample
+from .common import batched, chunks, flat, hashed_sample
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 16
 _SPAN = max(WIDTHS)
@@ -112,25 +112,32 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _training_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(k, l, w)``: of each text at most ``TRAIN_WINDOWS`` windows, spread over the whole of it."""
+    for batch in chunks(batches, "t"):
+        data, offsets = flat(batch.column("t"))
+        count = -(-np.diff(offsets) // WINDOW)
+        step = np.maximum(1, count // TRAIN_WINDOWS)
+        raw, out = data.tobytes(), []
+        for at, end, n, by in zip(offsets[:-1].tolist(), offsets[1:].tolist(), count.tolist(), step.tolist(), strict=True):
+            out.append([raw[at + i * WINDOW : min(end, at + (i + 1) * WINDOW)] for i in range(0, n, by)[:TRAIN_WINDOWS]])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), pa.array(out, pa.list_(pa.binary()))], ["k", "l", "w"])
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label: str = "lang", key: str = "doc_id") -> ByteNet | None:
     """A network fitted on at most ``rows`` of the rows that aren't held out and have a label; those without text say nothing.
 
-    None if no row is left.
+    The driver gets ``TRAIN_WINDOWS`` windows a row at most, whatever the texts' lengths. None if no row is left.
     """
-    known = docs.where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).cast("string").alias("t"))
-    sample = hashed_sample(known, rows, "k", "l").where(F.length("t") > 0).select("t", "l").toArrow()
+    known = batched(docs).where(~held_out(key) & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).cast("string").alias("t"))
+    shape = f"k {docs.schema[key].dataType.simpleString()}, l {docs.schema[label].dataType.simpleString()}, w array<binary>"
+    sample = hashed_sample(known, rows, "k", "l", cut=lambda df: df.mapInArrow(_training_windows, shape)).where(F.size("w") > 0).select("l", "w").toArrow().combine_chunks()
     if not sample.num_rows:
         return None
-    labels = sample.column("l").to_pylist()
+    labels, cut = sample.column("l").to_pylist(), sample.column("w").combine_chunks()
     classes = sorted(set(labels))
-    batch, row, _ = windows(*flat(sample.column("t")))
-    heads = np.searchsorted(row, np.arange(sample.num_rows))
-    counts = np.bincount(row, minlength=sample.num_rows)
-    step = np.maximum(1, counts[row] // TRAIN_WINDOWS)  # spread over the whole text
-    nth = np.arange(len(row)) - heads[row]
-    chosen = (nth % step == 0) & (nth // step < TRAIN_WINDOWS)
-    y = np.array([classes.index(x) for x in labels])[row[chosen]]
-    return ByteNet(classes).fit(batch[chosen], y)
+    y = np.repeat(np.array([classes.index(x) for x in labels]), np.diff(cut.offsets.to_numpy()))
+    return ByteNet(classes).fit(windows(*flat(cut.flatten()))[0], y)
 
 
 _LETTER = np.zeros(256, bool)
@@ -138,10 +145,11 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a character of one of Unicode's letter categories (L*)."""
     count = np.concatenate(([0], np.cumsum(_LETTER[data])))
     out = count[offsets[1:]] > count[offsets[:-1]]
     for i in np.flatnonzero(~out & (np.diff(offsets) > 0)).tolist():
-        out[i] = re.search(r"[^\W\d_]", data[offsets[i] : offsets[i + 1]].tobytes().decode()) is not None
+        out[i] = regex.search(r"\p{L}", data[offsets[i] : offsets[i + 1]].tobytes().decode()) is not None
     return out
 
 
@@ -161,7 +169,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(names, pa.string()), pa.array(np.where(found, p, 0.0))], ["k", "h", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), held_out(key).alias("h"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, h boolean, lang_pred string, score double")
+    out = batched(docs).select(F.col(key).alias("k"), held_out(key).alias("h"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, h boolean, lang_pred string, score double")
     return out.select(F.col("k").alias(key), F.col("h").alias("held_out"), "lang_pred", "score")
 
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BYTE_VALUE, prefix_hashes, span_hashes
+from .common import BYTE_VALUE, prefix_hashes, same_bytes, span_hashes
 
-#: Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 1_500_000
+#: Bytes of the arrays in which a Python worker remembers pieces and their ids; beyond it the memory starts anew.
+MEMORY = 48 << 20
 _HEAD = np.uint64(0x632BE59BD9B4E019)
 
 
 class PieceMemory:
-    """Encodes texts by pieces, each distinct one once; pieces are told apart by 64-bit hashes of their bytes.
+    """Encodes texts by pieces, each distinct one once.
 
-    A subclass says where a text may be cut so that its pieces' ids, one after the other, are its own
-    (``cuts``), and gives ids of pieces (``tokenize``), which learns of each piece whether it begins a text.
+    Pieces are looked up by 64-bit hashes, and what is found is compared byte by byte: a piece whose hash is that
+    of another one is encoded by itself. A subclass says where a text may be cut so that its pieces' ids, one
+    after the other, are its own (``cuts``), and gives ids of pieces (``tokenize``), which learns of each piece
+    whether it begins a text.
     """
 
     def __init__(self) -> None:
@@ -30,8 +32,14 @@ class PieceMemory:
         raise NotImplementedError
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        #: In the order of ``keys``: where a piece's ids and its bytes begin, and how many there are.
+        self.keys = np.empty(0, np.uint64)
+        self.at, self.size, self.spelt, self.length = (np.empty(0, np.int32) for _ in range(4))
+        self.pool, self.raw = np.empty(0, np.uint32), np.empty(0, np.uint8)
+
+    @property
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.spelt, self.length, self.pool, self.raw))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many of them each text has."""
@@ -47,7 +55,7 @@ class PieceMemory:
         hashes = span_hashes(prefix_hashes(BYTE_VALUE[data]), start, end)
         hashes[head] ^= _HEAD
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMORY:
+        if self.held > MEMORY:
             self.clear()
         spot = np.searchsorted(self.keys, distinct)
         known = spot < len(self.keys)
@@ -56,15 +64,32 @@ class PieceMemory:
             new = first[~known]
             self._learn(data, distinct[~known], start[new], end[new], head[new])
             spot = np.searchsorted(self.keys, distinct)
-        at, size = self.at[spot][which], self.size[spot][which]
+        spot = spot[which]
+        at, size = self.at[spot].astype(np.int64), self.size[spot].astype(np.int64)
+        # What was found is held against the bytes; a piece that only shares a hash gets ids of its own.
+        fine = self.length[spot] == end - start
+        fine[fine] = same_bytes(data, start[fine], self.raw, self.spelt[spot[fine]], (end - start)[fine])
+        if not fine.all():
+            odd = np.flatnonzero(~fine)
+            size[odd], ids = self.tokenize(data, start[odd], end[odd], head[odd])
+            at[odd] = len(self.pool) + np.cumsum(size[odd]) - size[odd]
+            pool = np.concatenate((self.pool, ids))
+        else:
+            pool = self.pool
         ends = np.cumsum(size)
-        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
+        ids = pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
         row = np.searchsorted(offsets, start, side="right") - 1
         return ids, np.bincount(row, size, rows).astype(np.int64)
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
         size, ids = self.tokenize(data, start, end, head)
+        length = end - start
         at = len(self.pool) + np.cumsum(size) - size
+        spelt = len(self.raw) + np.cumsum(length) - length
         self.pool = np.concatenate((self.pool, ids))
+        whole = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        self.raw = np.concatenate((self.raw, data[whole]))
         into = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
+        self.keys = np.insert(self.keys, into, keys)
+        for name, new in (("at", at), ("size", size), ("spelt", spelt), ("length", length)):
+            setattr(self, name, np.insert(getattr(self, name), into, new.astype(np.int32)))

@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage: how much of a text lies inside repeated n-grams and lines.
 
-Words and lines of a block of texts are hashed at once in numpy: a polynomial prefix hash gives the hash of any
-span, and prefix hashes over the word hashes roll windows of every n-gram length. A sort brings equal windows
-of one text together; counting runs gives the words, and so the characters, that repeated windows cover.
+Words and lines of a block of texts are numbered by their bytes at once; polynomial prefix hashes over the word
+numbers roll windows of every n-gram length in numpy. A sort brings windows of one text and one hash together,
+neighbours are compared word by word, and counting runs gives the words, and so the characters, that repeated
+windows cover.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mixed, prefix_hashes, span_hashes, word_spans
+from .common import batched, chunks, codes, flat, mixed, prefix_hashes, span_hashes, word_spans
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -36,19 +37,37 @@ class Rules:
     line_share: float = 0.30
 
 
-def repeated(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hash: whether its row has it twice or more, and whether an earlier place of its row has it."""
-    twice, later = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-    if len(hashes) > 1:
-        own = hashes ^ mixed(row.astype(np.uint64) + np.uint64(1))
-        order = np.argsort(own, kind="stable")
-        same = own[order[1:]] == own[order[:-1]]
+def repeated(items: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item: whether its row has it twice or more, and whether an earlier place of its row has it."""
+    twice, later = np.zeros(len(items), bool), np.zeros(len(items), bool)
+    if len(items) > 1:
+        order = np.lexsort((items, row))
+        same = (items[order[1:]] == items[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
         later[order[1:]] = same
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
     return twice, later
 
 
+def repeated_windows(words: np.ndarray, rolled: np.ndarray, row: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Whether each window words[first:first+n] occurs twice or more in its row.
+
+    ``rolled``: prefix hashes of ``words``. Windows of one hash are held against each other word by word; should
+    two of them differ, windows are numbered by their words instead.
+    """
+    hashes = span_hashes(rolled, first, first + n)
+    own = hashes ^ mixed(row[first].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(own, kind="stable")
+    at = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    i, j = first[order[at]], first[order[at + 1]]
+    if (row[i] != row[j]).any() or any((words[i + k] != words[j + k]).any() for k in range(n)):
+        table = np.concatenate((row[first][:, None], words[first[:, None] + np.arange(n)]), 1)
+        return repeated(np.unique(table, axis=0, return_inverse=True)[1].reshape(-1), row[first])[0]
+    twice = np.zeros(len(first), bool)
+    twice[order[at]] = twice[order[at + 1]] = True
+    return twice
+
+
 def covered(flags: np.ndarray, n: int, words: int) -> np.ndarray:
     """Words inside a flagged window of ``n`` words; flags[i] is of the window that starts at word i."""
     total = np.zeros(words + n, np.int64)
@@ -70,15 +89,14 @@ def measure(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> di
     np.cumsum(_SYMBOL[data], out=symbols[1:])
     out = {"n_words": np.bincount(row, minlength=rows), "word_chars": per_row(chars), "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]]}
 
-    prefix = prefix_hashes(_values(data))
-    words = span_hashes(prefix, start, end)
-    over = prefix_hashes(words)
+    words = codes(data, start, end)
+    over = prefix_hashes(mixed(words.astype(np.uint64) + np.uint64(1)))
     for n in sizes:
         first = np.arange(max(0, len(words) - n + 1))
         whole = row[first] == row[first + n - 1] if len(first) else np.empty(0, bool)
         first = first[whole]
         flags = np.zeros(len(whole), bool)
-        flags[first] = repeated(span_hashes(over, first, first + n), row[first])[0]
+        flags[first] = repeated_windows(words, over, row, first, n)
         inside = covered(flags, n, len(words))
         out[f"words_{n}"] = per_row(inside)
         out[f"chars_{n}"] = per_row(chars * inside)
@@ -94,7 +112,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> di
     line_end = line_end - ends_in_break
     held = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)  # has a word
     line_start, line_end, line_row = line_start[held], line_end[held], line_row[held]
-    later = repeated(span_hashes(prefix, line_start, line_end), line_row)[1]
+    later = repeated(codes(data, line_start, line_end), line_row)[1]
     out["n_dup_lines"] = per_row(later, line_row)
     in_words = np.zeros(len(words) + 1, np.int64)
     np.cumsum(chars, out=in_words[1:])
@@ -103,12 +121,6 @@ def measure(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> di
     return out
 
 
-def _values(data: np.ndarray) -> np.ndarray:
-    from .common import BYTE_VALUE
-
-    return BYTE_VALUE[data]
-
-
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -134,7 +146,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(got[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(~failed & (worst <= 1)), pa.array(worst)], ["k", *COUNTS, "base_failed", "kept", "worst_share"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, worst_share double")
+    out = batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean, worst_share double")
     return out.withColumnRenamed("k", key)
 
 
@@ -146,7 +158,7 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for batch in chunks(batches, "text"):
             yield batch.filter(pa.array(_passes(*flat(batch.column("text")), sizes, rules)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def _passes(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], rules: Rules) -> np.ndarray:

@@ -8,9 +8,12 @@ between such boundaries, whatever its length.
 
 The supplied vocabulary is of the BPE kind; here its scores rank paths as those of a unigram model do. The ids
 are therefore not its BPE merges but those of the best path (the tests compare them with a search over all
-splits, and with the library's n-best search over the same file with its model type set to unigram). A character without a piece costs 10 less than the least score and becomes
-its UTF-8 bytes. No piece has a visible character before a space mark, so paths always meet there: ids of the
-parts between are remembered (see ``pieces``).
+splits). A character without a piece costs 10 less than the least score and becomes its UTF-8 bytes.
+
+A stream that has committed at a boundary is as it was at the start: what it does next depends only on what
+follows. No piece has a visible character before a space mark, so every stream commits there, and what lies
+between two such places is streamed once and remembered (see ``pieces``, which compares bytes); a vocabulary
+with pieces across words has no such places, and its texts are streamed whole.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat
+from .common import batched, chunks, flat
 from .pieces import PieceMemory
 
 MARK = "\u2581"
@@ -124,10 +127,13 @@ class StreamingViterbi:
         return out
 
 
-def viterbi(vocabulary: Vocabulary, text: str, portion: int = 512) -> list[int]:
-    """Ids of marked text (spaces already replaced), streamed in portions."""
-    stream, out = StreamingViterbi(vocabulary), []
-    if len(text) <= portion:
+def viterbi(vocabulary: Vocabulary, text: str, portion: int | None = None) -> list[int]:
+    """Ids of marked text (spaces already replaced), streamed in portions of the longest piece's length.
+
+    Nothing can be committed before more than one window is there, so a shorter text is closed at once.
+    """
+    stream, out, portion = StreamingViterbi(vocabulary), [], portion or vocabulary.longest
+    if len(text) <= vocabulary.longest:
         stream.text = text
         return stream.close()
     for at in range(0, len(text), portion):
@@ -181,7 +187,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))], ["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -193,7 +199,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(texts, pa.string())], ["k", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    return batched(encoded).select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
 
 
 def digests(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -215,7 +221,7 @@ def digests(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sizes), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], ["k", "n_tokens", "ids_crc32", "same"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_crc32 long, same boolean").withColumnRenamed("k", key)
+    return batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_crc32 long, same boolean").withColumnRenamed("k", key)
 
 
 def model_path() -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import simple8b
-from .common import SPACE, chunks, flat, parts, shared_root
+from .common import SPACE, batched, chunks, flat, parts, scratch
 from .pieces import PieceMemory
 
 
@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
             done += len(ids)
 
     kind = docs.schema[key].dataType.simpleString()
-    ranged = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).repartitionByRange(parts(docs.sparkSession), "k").sortWithinPartitions("k")
+    ranged = batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).repartitionByRange(parts(docs.sparkSession), "k").sortWithinPartitions("k")
     ranged.mapInArrow(run, f"shard int, before long, n_ids long, keys array<{kind}>, sizes array<long>, payload binary").write.option("compression", "none").parquet(path)
 
 
@@ -158,10 +158,8 @@ def digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    path = f"{shared_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, str(public_tokenizers.path("byte_bpe_50k.json")))
     return digests(spark, path)

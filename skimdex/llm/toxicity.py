@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, chunks, flat, hashed_sample, mixed, prefix_hashes, span_hashes
+from .common import BYTE_VALUE, batched, chunks, flat, hashed_sample, mixed, prefix_hashes, span_hashes, written
 
 #: Most labelled rows that a chain is fitted on, in the order of a hash of their ids; features it keeps; folds.
 SAMPLE_ROWS, FEATURES, FOLDS = 6000, 512, 5
@@ -123,34 +123,32 @@ class Chain:
         return out
 
 
-def _selected(hashes: np.ndarray, row: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Features whose presence says most of some category (chi-square), one for each slot of the table.
+def selected(table: DataFrame, names: list[str], most: int = FEATURES) -> np.ndarray:
+    """Features whose presence says most of some category (chi-square), one for each slot of the chain's table.
 
-    A text has each of its features once in ``hashes``.
+    ``table (f array<long>, a 0/1 column for each of ``names``)`` has each text's features once. They are counted on
+    the executors; the driver gets the best 2 * ``most``.
     """
-    n = len(y)
-    keys, which = np.unique(hashes, return_inverse=True)
-    df = np.bincount(which, minlength=len(keys)).astype(float)
-    score = np.zeros(len(keys))
-    for c in range(y.shape[1]):
-        hit = np.bincount(which, y[row, c], len(keys))
-        base = y[:, c].mean()
-        score = np.maximum(score, (hit - df * base) ** 2 / (df * max(base * (1 - base), 1e-9) * np.maximum(1 - df / n, 1e-9)))
-    score[df < 4] = 0
-    best = np.argsort(-score, kind="stable")[: 2 * most]
-    best = best[score[best] > 3.84]
-    slots = keys[best] >> np.uint64(44)
-    _, first = np.unique(slots, return_index=True)
-    return keys[best[np.sort(first)]][:most]
-
-
-def fit_chain(hashes: np.ndarray, row: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str], most: int = FEATURES) -> Chain:
-    """``y``: 0 or 1, a column for each category. Each threshold has the best F1 on out-of-fold predictions."""
-    chosen = np.sort(_selected(hashes, row, y, most))
-    col = np.searchsorted(chosen, hashes)
-    hit = np.flatnonzero(col < len(chosen))
-    hit = hit[chosen[col[hit]] == hashes[hit]]
-    row, col, odds = row[hit], col[hit], np.zeros((len(y), 0))
+    sums = table.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).first()
+    counted = table.select(F.explode("f").alias("f"), *names).groupBy("f").agg(F.count("*").cast("double").alias("df"), *(F.sum(c).alias(c) for c in names))
+    score = F.lit(0.0)
+    for c in names:
+        base = (sums[c] or 0.0) / max(sums.n, 1)
+        against = F.col("df") * max(base * (1 - base), 1e-9) * F.greatest(1 - F.col("df") / max(sums.n, 1), F.lit(1e-9))
+        score = F.greatest(score, (F.col(c) - F.col("df") * base) ** 2 / against)
+    best = counted.where("df >= 4").select("f", score.alias("score")).where("score > 3.84")
+    unsigned = F.col("f").bitwiseXOR(F.lit(-(1 << 63)))
+    keys = best.orderBy(F.desc("score"), unsigned).limit(2 * most).select("f").toArrow().column("f").to_numpy().view(np.uint64)
+    _, first = np.unique(keys >> np.uint64(44), return_index=True)
+    return np.sort(keys[np.sort(first)][:most])
+
+
+def fit_chain(chosen: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str]) -> Chain:
+    """``y``: 0 or 1, a column for each category; text row[i] has feature chosen[col[i]].
+
+    Each threshold has the best F1 on out-of-fold predictions.
+    """
+    odds = np.zeros((len(y), 0))
     weights, thresholds = [], []
     for c in range(y.shape[1]):
         weights.append(_logistic(row, col, odds, y[:, c], len(chosen)))
@@ -196,16 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(batch.column(n) for n in names), lists], ["k", *names, "f"])
 
     kind = docs.schema[key].dataType.simpleString()
-    joined = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(sample), "k").select("k", "t", *names)
-    got = joined.mapInArrow(run, f"k {kind}, {', '.join(f'{n} double' for n in names)}, f array<long>").toArrow().combine_chunks()
+    joined = batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(sample), "k").select("k", "t", *names)
+    table = written(joined.mapInArrow(run, f"k {kind}, {', '.join(f'{n} double' for n in names)}, f array<long>"), "features")
+    chosen = selected(table, names)
+    own = F.array_intersect("f", F.array(*(F.lit(int(x)) for x in chosen.view(np.int64))).cast("array<long>"))
+    got = table.select("k", *names, own.alias("f")).toArrow().combine_chunks()  # FEATURES a row at most
     if not got.num_rows:
         return Chain(names, np.empty(0, np.uint64), [np.zeros(1 + c) for c in range(len(names))], [1.1] * len(names))
-    got = got.sort_by("k")
+    got = got.sort_by([("k", "ascending"), *((n, "ascending") for n in names)])
     lists = got.column("f").combine_chunks()
-    hashes = lists.flatten().to_numpy().view(np.uint64)
     row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
+    col = np.searchsorted(chosen, lists.flatten().to_numpy().view(np.uint64))
     y = np.stack([got.column(n).to_numpy() for n in names], 1)
-    return fit_chain(hashes, row, y, np.arange(got.num_rows) % FOLDS, names)
+    return fit_chain(chosen, row, col, y, np.arange(got.num_rows) % FOLDS, names)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -222,7 +223,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(p[:, c]) for c in range(len(out)))], ["k", *out])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {', '.join(f'{n} double' for n in out)}")
+    got = batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {', '.join(f'{n} double' for n in out)}")
     return got.select(F.col("k").alias(key), *out, *((F.col(f"{n}_score") > F.lit(t)).alias(n) for n, t in zip(chain.categories, chain.thresholds, strict=True)))
 
 
