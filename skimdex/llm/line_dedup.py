@@ -1,6 +1,6 @@
 """Removal of repeated line runs with a suffix array over lines, built by distributed prefix doubling.
 
-Every line with a word gets an id (XXH64 of the line); a document is the sequence of its lines' ids. A suffix's
+Every line with a word gets an id (the line's MD5, 128 bits); a document is the sequence of its lines' ids. A suffix's
 rank at depth h is the place of its first h ids in the order of all suffixes' first h ids. Ranks at depth 2h
 come from pairs of ranks at depth h, h lines apart. Each round counts the distinct pairs (combined before the
 shuffle), range-partitions and sorts the distinct pairs only, adds running counts within and across partitions,
@@ -18,11 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import parts, written
+from .common import batched, chunks, parts, released, written
 
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 #: The rank of what follows a document's last line.
@@ -31,10 +31,15 @@ END = -1
 LONG_WORDS = 50
 
 
+def _identity(line: Column) -> Column:
+    """128 bits of a line: among 10**13 distinct lines, two with the same are expected in one of 10**12 corpora."""
+    return F.unhex(F.md5(line.cast("binary")))
+
+
 def line_ids(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc, pos, id)``: the lines of ``docs`` that have a word, numbered from 0 in each row."""
     held = F.filter(F.split(F.col(text).cast("string"), "\n", -1), lambda x: x.rlike(_HAS_WORD))
-    return docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: F.xxhash64(x))).alias("pos", "id"))
+    return docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: _identity(x))).alias("pos", "id"))
 
 
 def ranks(rows: DataFrame, by: list[str], rank: str = "rank", count: str = "count") -> DataFrame:
@@ -50,6 +55,7 @@ def ranks(rows: DataFrame, by: list[str], rank: str = "rank", count: str = "coun
             ends = total + np.cumsum(c)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - c), pa.array(np.full(len(c), part, np.int32))], [*batch.schema.names, "local", "part"])
             total = int(ends[-1]) if len(ends) else total
+        released()
 
     local = written(ranged.mapInArrow(run, f"{schema.replace(',', ', ')}, local long, part int"), "ranks")
     totals = local.groupBy("part").agg(F.sum("c").alias("n"))  # one row a partition
@@ -111,7 +117,7 @@ def repeated_long_lines(docs: DataFrame, words: int, text: str = "text", key: st
     held = F.filter(F.split(F.col(text).cast("string"), "\n", -1), lambda x: x.rlike(_HAS_WORD))
     count = lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     long = lambda x: F.when(F.length(x) > 2 * words, count(x) > words).otherwise(F.lit(False))
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: F.when(long(x), F.xxhash64(x)))).alias("pos", "id")).where("id is not null")
+    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.transform(held, lambda x: F.when(long(x), _identity(x)))).alias("pos", "id")).where("id is not null")
     lines = written(lines, "long-lines")
     place = F.struct("doc", "pos")
     first = written(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"), "firsts")
@@ -134,7 +140,7 @@ def _strip(text: str, places: list[int], min_run: int, singles: list[int]) -> tu
 
 
 def dedup(docs: DataFrame, min_run: int = 2, text: str = "text", key: str = "doc_id", long_words: int | None = None) -> DataFrame:
-    """Rows ``(row, text, n_lines, n_removed, n_runs)``: each row of ``docs`` as a struct, and its text without
+    """Rows ``(row, text, n_lines, n_removed, n_runs)``: the other columns of each row of ``docs`` as a struct, and its text without
     the later copies of runs of ``min_run`` or more lines, and of single lines of over ``long_words`` words.
 
     Only lines with a word count and go; blank lines stay. A null text stays null, with no lines. Ties: rows
@@ -142,22 +148,23 @@ def dedup(docs: DataFrame, min_run: int = 2, text: str = "text", key: str = "doc
     ``docs``, whatever their names, are carried in ``row``. An empty table gives an empty result.
     """
     runs = repeated_runs(docs, min_run, text, key)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    others = [c for c in docs.columns if c != text]
+    whole = batched(docs).select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
     if long_words is None:
         runs = runs.withColumn("singles", F.lit(None).cast("array<int>"))
     else:
         both = runs.withColumn("singles", F.lit(None).cast("array<int>")).unionByName(repeated_long_lines(docs, long_words, text, key).withColumn("places", F.lit(None).cast("array<int>")))
         runs = both.groupBy("doc").agg(F.max("places").alias("places"), F.max("singles").alias("singles"))
-    joined = whole.join(runs, F.col(f"row.{key}").eqNullSafe(runs.doc), "left").select("row", F.col(f"row.{text}").cast("string").alias("t"), "places", "singles")
+    joined = whole.join(runs, F.col(f"row.{key}").eqNullSafe(runs.doc), "left").select("row", "t", "places", "singles")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "t"):
             texts, places, singles = (batch.column(c).to_pylist() for c in ("t", "places", "singles"))
             out = [_strip(t or "", p or [], min_run, s or []) for t, p, s in zip(texts, places, singles, strict=True)]
             kept = [None if t is None else o[0] for t, o in zip(texts, out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3))], ["row", "text", "n_lines", "n_removed", "n_runs"])
 
-    kind = docs.schema.simpleString()
+    kind = whole.schema["row"].dataType.simpleString()
     return joined.mapInArrow(run, f"row {kind}, text string, n_lines long, n_removed long, n_runs long")
 
 

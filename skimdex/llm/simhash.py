@@ -21,12 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, mixed, parts, written
+from .common import batched, checkpointed, chunks, mixed, parts, released, written
 from .components import components
 
 #: Fingerprints of one bucket that a task links by itself when the bucket can still be split.
 HOT = 4096
-#: The same for buckets of sampled bits; larger ones are searched in pairs of blocks of about this size.
+#: The same for buckets of sampled bits; of larger ones, what their least row doesn't settle is searched in pairs
+#: of blocks of about this size.
 WIDE_HOT = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SIGNED = lambda x: x - (1 << 64) if x >> 63 else x
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(lanes))], ["k", *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names))
+    return batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def covering_masks(radius: int, width: int = 64) -> list[int]:
@@ -191,8 +192,9 @@ def covered_links(prints: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
         over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
         if over.isEmpty():
             break
+        # 31 * 5**depth rows; each level adds bits to every mask, so 64 bits bound the depth and no data does.
         finer = spark.createDataFrame([(m, _SIGNED(s)) for m in masks for s in submasks(m % (1 << 64), radius + 1)], "mask long, sub long")
-        deeper = buckets.join(over, ["mask", "bucket"]).join(F.broadcast(finer), "mask")  # finer: 31 * 5**depth rows
+        deeper = buckets.join(over, ["mask", "bucket"]).join(F.broadcast(finer) if len(masks) <= 20_000 else finer, "mask")
         buckets = checkpointed(deeper.select("node", "f0", F.col("sub").alias("mask"), F.col("f0").bitwiseAND(F.col("sub")).alias("bucket")))
         masks = sorted({_SIGNED(s) for m in masks for s in submasks(m % (1 << 64), radius + 1)})
     return reduce(DataFrame.union, found)
@@ -210,17 +212,35 @@ def _lanes(chosen: Iterable[int], lanes: int) -> list[int]:
     return [_SIGNED(sum(1 << i % 64 for i in bits if i // 64 == lane)) for lane in range(lanes)]
 
 
-def block_pairs(buckets: DataFrame, over: DataFrame, hot: int) -> DataFrame:
-    """The rows of the buckets ``over (mask, bucket)``, dealt out so that any two of one bucket meet again.
+def _apart(lanes: int):
+    """Differing bits of the fingerprints ``f0, ..`` and ``p0, ..``."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(lanes)))
 
-    A bucket of n rows is cut into n/``hot`` blocks by hash; each pair of blocks is a bucket of its own, of about
-    2 * ``hot`` rows however large n is. A row is repeated once for each other block.
+
+def near_pivots(mine: DataFrame, distinct: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """``mine (node, .., mask, bucket)`` with ``pivot``, the least node of the bucket, and whether it is ``near``."""
+    least = written(mine.groupBy("mask", "bucket").agg(F.min("node").alias("pivot")), "least")
+    lane = [F.col(f"f{i}").alias(f"p{i}") for i in range(lanes)]
+    pivots = written(least.join(distinct.select(F.col("node").alias("pivot"), *lane), "pivot"), "pivots")
+    near = (F.col("node") != F.col("pivot")) & (_apart(lanes) <= radius)
+    return mine.join(pivots, ["mask", "bucket"]).withColumn("near", near).drop(*(f"p{i}" for i in range(lanes)))
+
+
+def block_pairs(mine: DataFrame, hot: int) -> DataFrame:
+    """The rows of buckets ``mine (node, .., mask, bucket, settled)``, dealt out so that pairs of one bucket meet again.
+
+    Rows that are ``settled`` are linked to their bucket's pivot, so only pairs with an open row are of interest.
+    Open and settled rows of a bucket are cut into blocks of about ``hot`` rows by hash, and each two blocks one
+    of which is open become a bucket of their own. A family of near copies, settled but for a few, is so sent once.
     """
-    mine = buckets.join(over, ["mask", "bucket"])
-    sizes = written(mine.groupBy("mask", "bucket").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks")), "sizes")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = mine.join(sizes, ["mask", "bucket"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
-    return dealt.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+    cut = lambda c: F.ceil(F.count_if(c) / hot).cast("int")
+    sizes = written(mine.groupBy("mask", "bucket").agg(cut(~F.col("settled")).alias("open"), cut(F.col("settled")).alias("shut")).where("open > 0"), "sizes")
+    dealt = mine.join(sizes, ["mask", "bucket"])
+    among = F.when(F.col("settled"), F.col("shut")).otherwise(F.col("open"))
+    own = F.pmod(F.xxhash64("node"), among).cast("int") + F.when(F.col("settled"), F.col("open")).otherwise(0)
+    last = F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("shut")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("own <> other")
+    return dealt.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).drop("open", "shut", "own", "other", "settled", "pivot", "near")
 
 
 def wide_buckets(prints: DataFrame, lanes: int, tables: int, bits: int) -> DataFrame:
@@ -304,6 +324,7 @@ def _stars(lanes: int, radius: int, hot: int | None):
                 out, size = [], 0
         if out:
             yield flush()
+        released()
 
     return run
 
@@ -312,12 +333,21 @@ def _rest(lanes: int, radius: int):
     """Pairs within ``radius`` in each run of one group that have different roots."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["a", "b"])
         for _, rows in _grouped(batches, ["grp"], ["node", "root", *(f"f{i}" for i in range(lanes))]):
             node, root, bits = rows[:, 0].view(np.int64), rows[:, 1], rows[:, 2:]
             for i in range(len(rows) - 1):
                 near = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_far(bits[i + 1 :], bits[i]) <= radius))
                 if near.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), node[i])), pa.array(node[near])], ["a", "b"])
+                    out.append((np.full(len(near), node[i]), node[near]))
+                    size += len(near)
+                if size > 50_000 or len(out) > 20_000:
+                    yield flush()
+                    out, size = [], 0
+        if out:
+            yield flush()
+        released()
 
     return run
 
@@ -344,7 +374,7 @@ def sketches(docs: DataFrame, words: int, lanes: int, shingles: bool = False) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = "node long, shingles binary" if shingles else f"k {kind}, node long, h long, " + ", ".join(f"{c} long" for c in lane)
-    return docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("t")).withColumn("h", F.xxhash64("t")).mapInArrow(run, shape)
+    return batched(docs).select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("t")).withColumn("h", F.xxhash64("t")).mapInArrow(run, shape)
 
 
 def shingle_sets(docs: DataFrame, distinct: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -366,6 +396,7 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             small = min(len(p), len(q))
             keep.append(9 * small >= 4 * n and 9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * n)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    released()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -380,27 +411,33 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
 
     ``distinct (node, f0, ..)`` are the fingerprints, ``sets_of`` gives the shingle sets of a table of nodes.
     A pair meets if it agrees under a mask and is within ``radius``: two fingerprints that differ in a share s of
-    their bits agree with probability 1-(1-(1-s)**bits)**tables, whatever else is in their buckets, as one over
-    ``hot`` rows is searched in pairs of blocks. In each bucket the pairs of a star are verified first; then all
-    its other pairs, but for those that a verified pivot connects already.
+    their bits agree with probability 1-(1-(1-s)**bits)**tables, whatever else is in their buckets. A bucket over
+    ``hot`` rows is held against its least row first, and what that doesn't settle is searched in pairs of blocks.
+    In each bucket the pairs of a star are verified first; then all its other pairs, but for those that verified
+    pairs connect already.
     """
     spark, lane = distinct.sparkSession, [f"f{i}" for i in range(lanes)]
-    deal = lambda rows, most: written(rows.repartition(parts(spark), "mask", "bucket").sortWithinPartitions("mask", "bucket", "node").mapInArrow(_stars(lanes, radius, most), "a long, b long, kind int"), "stars")
+    deal = lambda rows, most: written(batched(rows).repartition(parts(spark), "mask", "bucket").sortWithinPartitions("mask", "bucket", "node").mapInArrow(_stars(lanes, radius, most), "a long, b long, kind int"), "stars")
     buckets = wide_buckets(distinct, lanes, tables, bits)
-    step = deal(buckets, hot)
+    step, settled = deal(buckets, hot), None
     over = step.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("bucket"))
     if not over.isEmpty():
-        step = step.where("kind <> 1").union(deal(block_pairs(buckets, over, hot), None))
+        mine = written(near_pivots(written(buckets.join(over, ["mask", "bucket"]), "hot"), distinct, lanes, radius), "hot")
+        asked = mine.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        settled = verified(asked, sets_of(asked.select(F.col("a").alias("node")).union(asked.select("b"))))
+        known = settled.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("settled"))
+        mine = mine.join(known, ["pivot", "node"], "left").withColumn("settled", F.coalesce("settled", F.col("node") == F.col("pivot")))
+        step = step.where("kind <> 1").union(deal(block_pairs(written(mine, "hot"), hot), None))
     stars = step.where("kind = 0").select("a", "b")
     sets = sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")))  # other pairs are of these rows too
     first = verified(stars, sets)
-    named = written(first.groupBy("b").agg(F.min("a").alias("root")), "named")
+    rooted = written(components(first if settled is None else first.union(settled)), "rooted")
     near = step.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
-    near = written(near.join(named, near.node == named.b, "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "near")
+    near = written(near.join(rooted, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "near")
     mixed_groups = written(near.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp"), "groups")
     rest = near.join(mixed_groups, "grp").join(distinct, "node").select("grp", "node", "root", *lane)
     rest = rest.repartition(parts(spark), "grp").sortWithinPartitions("grp").mapInArrow(_rest(lanes, radius), "a long, b long")
-    return first.union(verified(rest, sets))
+    return rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, sets))
 
 
 def classes(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
