@@ -329,29 +329,69 @@ def _stars(lanes: int, radius: int, hot: int | None):
     return run
 
 
+def _common(own: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of ``own`` (sorted) each set flat[start:start+size] has."""
+    ends = np.cumsum(size)
+    values = flat[np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size)]
+    hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    total = np.concatenate(([0], np.cumsum(hit)))
+    return total[ends] - total[ends - size]
+
+
 def _rest(lanes: int, radius: int):
-    """Pairs within ``radius`` in each run of one group that have different roots."""
+    """Links of each run of one group: pairs within ``radius`` with a similarity of 0.8 or more.
+
+    Only enough of them are returned to tie together what has different roots, so a group of n rows gives n-1 links
+    at most, however many of its pairs must be looked at.
+    """
+
+    def links(node: np.ndarray, root: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(x) for x in sets])
+        flat, start = np.concatenate(sets), np.cumsum(size) - size
+        root = np.unique(root, return_inverse=True)[1].copy()
+        for i in range(len(node) - 1):
+            near = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_far(bits[i + 1 :], bits[i]) <= radius))
+            near = near[(9 * np.minimum(size[near], size[i]) >= 4 * (size[near] + size[i])) & (size[near] > 0)]
+            if not near.size or not size[i]:
+                continue
+            alike = near[9 * _common(sets[i], flat, start[near], size[near]) >= 4 * (size[near] + size[i])]
+            for j in alike.tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    yield int(node[i]), int(node[j])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], ["a", "b"])
-        for _, rows in _grouped(batches, ["grp"], ["node", "root", *(f"f{i}" for i in range(lanes))]):
-            node, root, bits = rows[:, 0].view(np.int64), rows[:, 1], rows[:, 2:]
-            for i in range(len(rows) - 1):
-                near = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (_far(bits[i + 1 :], bits[i]) <= radius))
-                if near.size:
-                    out.append((np.full(len(near), node[i]), node[near]))
-                    size += len(near)
-                if size > 50_000 or len(out) > 20_000:
-                    yield flush()
-                    out, size = [], 0
+        at, held, out = None, [], []
+
+        def close(held: list) -> None:
+            if len(held) > 1:
+                node, root = (np.array([r[c] for r in held], np.int64) for c in (0, 1))
+                bits = np.array([r[2] for r in held], np.int64).view(np.uint64)
+                out.extend(links(node, root, bits, [np.frombuffer(r[3], np.uint64) for r in held]))
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("grp", "node", "root", "shingles")]
+            bits = np.stack([batch.column(f"f{i}").to_numpy() for i in range(lanes)], 1) if batch.num_rows else ()
+            for grp, node, root, shingles, own in zip(*columns, bits, strict=True):
+                if grp != at:
+                    close(held)
+                    at, held = grp, []
+                held.append((node, root, own, shingles))
+            if len(out) > 50_000:
+                yield _pairs(out)
+                out.clear()
+        close(held)
         if out:
-            yield flush()
+            yield _pairs(out)
         released()
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def sketches(docs: DataFrame, words: int, lanes: int, shingles: bool = False) -> DataFrame:
     """``(k, node, h, f0, ..)``: the hash of the set of a text's shingles, of the text, and the set's fingerprint.
 
@@ -435,9 +475,9 @@ def similar_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     near = step.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("node")).distinct()
     near = written(near.join(rooted, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "near")
     mixed_groups = written(near.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp"), "groups")
-    rest = near.join(mixed_groups, "grp").join(distinct, "node").select("grp", "node", "root", *lane)
+    rest = near.join(mixed_groups, "grp").join(distinct.select("node", *lane), "node").join(sets, "node").select("grp", "node", "root", *lane, "shingles")
     rest = rest.repartition(parts(spark), "grp").sortWithinPartitions("grp").mapInArrow(_rest(lanes, radius), "a long, b long")
-    return rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(rest, sets))
+    return rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(written(rest, "rest"))
 
 
 def classes(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
