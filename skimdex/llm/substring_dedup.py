@@ -6,13 +6,17 @@ are left out first, exactly:
 
 1. Each window of ``LENGTH`` bytes names the least of its ``GRAM``-byte hashes, its anchor. Equal windows name
    equal anchors. Successive windows with one anchor are a run; its context is the bytes of all its windows.
-2. A grouped minimum over (anchor, context) keeps each context's first run, with copies combined before the
-   shuffle. Windows of any other run repeat those of the first. An anchor with one context repeats nowhere else.
+2. The least place of each (anchor, context) is its first run; windows of any other run repeat those of the
+   first. An anchor with one context repeats nowhere else. Contexts are told apart by 128 bits (XXH3), which no
+   polynomial structure of a text can defeat: among 10**14 runs two are mistaken with a chance of 10**-11.
 3. Windows of first runs whose anchor has several contexts may still repeat in part. Their contexts are
-   suffix-sorted (see ``suffix_sort``), anchors dealt out over tasks, those of over ``HOT_RUNS`` runs by the
-   hash of their windows over several. In the sorted order, neighbours that share ``LENGTH`` bytes are copies.
+   suffix-sorted (see ``suffix_sort``), anchors dealt out over tasks; in the sorted order, neighbours that share
+   ``LENGTH`` bytes are copies, verified by their bytes.
+4. An anchor of over ``HOT_RUNS`` contexts isn't sorted: each of its windows is told by its own 128 bits, and a
+   grouped minimum, combined before the shuffle, says where it comes first.
 
-Every step is on equi-joins and grouped sorts that stream; no task gathers an anchor's runs beyond a block.
+Anchors that are very frequent, as a sample of the documents tells, are dealt out by anchor and context in step 2
+(to none of the answers does it matter which they are). So no task gathers an anchor's runs.
 """
 
 from __future__ import annotations
@@ -22,23 +26,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, chunks, flat, mixed, parts, prefix_hashes, span_hashes, written
+from .common import BYTE_VALUE, batched, chunks, flat, parts, prefix_hashes, released, span_hashes, written
 from .suffix_sort import Suffixes
 
 LENGTH, GRAM = 100, 32
-#: First runs of one anchor that one key may hold; a block of contexts that a task sorts at once, in bytes.
-HOT_RUNS, SORT_BYTES = 20_000, 1 << 20
+#: Contexts of one anchor that are sorted together; a block of contexts that a task sorts at once, in bytes.
+HOT_RUNS, SORT_BYTES = 2000, 1 << 20
+#: One of so many documents is looked at for frequent anchors; an anchor is one with so many runs there, and at
+#: least one of so many of all runs there, which bounds their number.
+SAMPLED, FREQUENT, LARGEST = 64, 2000, 50_000
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """First and last window start of each run, its anchor's and its context's hash, and the text it is in."""
+    """First and last window start of each run, its anchor's hash, and the text it is in."""
     grams, span = len(data) - gram + 1, length - gram + 1
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64), none
+        return none, none, np.empty(0, np.uint64), none
     prefix = prefix_hashes(BYTE_VALUE[data])
     at = np.arange(grams)
     hashes = span_hashes(prefix, at, at + gram)
@@ -57,62 +65,88 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     fits[offsets[long + 1] - length + 1] -= 1
     start = np.flatnonzero(np.cumsum(fits[:-1], dtype=np.int8))  # windows inside one text
     if not len(start):
-        return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64), none
+        return none, none, np.empty(0, np.uint64), none
     new = np.concatenate(([True], (np.diff(start) > 1) | (np.diff(anchor[start]) != 0)))
     row = np.searchsorted(offsets, start, side="right") - 1
     new[1:] |= row[1:] != row[:-1]
     heads = np.flatnonzero(new)
     first, last = start[heads], start[np.append(heads[1:], len(start)) - 1]
-    return first, last, hashes[anchor[first]], span_hashes(prefix, first, last + length), row[heads]
+    return first, last, hashes[anchor[first]], row[heads]
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each raw[start:end], as two columns."""
+    h = xxhash.xxh3_128_digest
+    made = b"".join([h(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
 
 
 def _named_runs(length: int, gram: int):
-    names = ["anchor", "context", "k", "s"]
+    """``(anchor, c0, c1, k, s)`` of each run, copies of a block reduced to the first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             data, offsets = flat(batch.column("t"))
-            first, _, anchor, context, row = runs(data, offsets, length, gram)
-            k = batch.column("k").to_numpy()[row]
-            s = first - offsets[row]
-            order = np.lexsort((s, k))
-            _, kept = np.unique((anchor ^ mixed(context))[order], return_index=True)  # the block's first of each context
-            order = order[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[order].view(np.int64)), pa.array(context[order].view(np.int64)), pa.array(k[order]), pa.array(s[order].astype(np.int32))], names)
+            first, last, anchor, row = runs(data, offsets, length, gram)
+            context = digests(data.tobytes(), first, last + length)
+            k, s = batch.column("k").to_numpy()[row], first - offsets[row]
+            order = np.lexsort((s, k, context[:, 1], context[:, 0]))  # the block's first of each context
+            sorted_ = context[order]
+            order = order[np.concatenate(([True], (sorted_[1:] != sorted_[:-1]).any(1)))[: len(order)]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[order].view(np.int64)), pa.array(context[order, 0]), pa.array(context[order, 1]), pa.array(k[order]), pa.array(s[order].astype(np.int32))], ["anchor", "c0", "c1", "k", "s"])
+
+    return run
+
+
+def _anchors(length: int, gram: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "t"):
+            yield pa.RecordBatch.from_arrays([pa.array(runs(*flat(batch.column("t")), length, gram)[2].view(np.int64))], ["anchor"])
 
     return run
 
 
+def frequent_anchors(docs: DataFrame, length: int, gram: int, sampled: int = SAMPLED, frequent: int = FREQUENT) -> DataFrame:
+    """``(anchor)``: at most ``LARGEST`` of those that a sample of ``docs (k, t)`` has often."""
+    some = docs.where(F.pmod(F.xxhash64("k"), F.lit(sampled)) == 0).select("k", "t")
+    counts = written(some.mapInArrow(_anchors(length, gram), "anchor long").groupBy("anchor").agg(F.count("*").alias("c")), "sampled-anchors")
+    least = max(frequent, (counts.agg(F.sum("c")).first()[0] or 0) // LARGEST)
+    return counts.where(F.col("c") > least).select("anchor")
+
+
 def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (anchor, context, k, s): the first of each context, and whether its anchor has others."""
-    open_row = None  # the last first: (anchor, context, k, s, shared)
+    """Of rows in order of (anchor, c0, c1, k, s): the first of each context, and whether its anchor has others.
+
+    A frequent anchor (``hot``) has others, perhaps in other tasks.
+    """
+    last = None  # the last first: (anchor, c0, c1, k, s, shared)
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, c, k, s = (batch.column(n).to_numpy() for n in ("anchor", "context", "k", "s"))
+        a, c, d, k, s, hot = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "c0", "c1", "k", "s", "hot"))
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-        if open_row is not None:
-            new[0] = (a[0], c[0]) != open_row[:2]
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+        if last is not None:
+            new[0] = (a[0], c[0], d[0]) != last[:3]
         at = np.flatnonzero(new)
         if not len(at):
             continue
-        a, c, k, s = a[at], c[at], k[at], s[at]
-        shared = np.zeros(len(a), bool)
-        shared[1:] = a[1:] == a[:-1]
+        a, c, d, k, s, shared = a[at], c[at], d[at], k[at], s[at], hot[at].copy()
+        shared[1:] |= a[1:] == a[:-1]
         shared[:-1] |= a[1:] == a[:-1]
-        if open_row is not None:
-            same = open_row[0] == a[0]
+        if last is not None:
+            same = last[0] == a[0]
             shared[0] |= same
-            yield _first_rows([open_row[0]], [open_row[2]], [open_row[3]], [open_row[4] or same])
+            yield _first_rows([last[3]], [last[4]], [last[5] or same])
         if len(a) > 1:
-            yield _first_rows(a[:-1], k[:-1], s[:-1], shared[:-1])
-        open_row = (a[-1], c[-1], k[-1], s[-1], bool(shared[-1]))
-    if open_row is not None:
-        yield _first_rows([open_row[0]], [open_row[2]], [open_row[3]], [open_row[4]])
+            yield _first_rows(k[:-1], s[:-1], shared[:-1])
+        last = (a[-1], c[-1], d[-1], k[-1], s[-1], bool(shared[-1]))
+    if last is not None:
+        yield _first_rows([last[3]], [last[4]], [last[5]])
+    released()
 
 
-def _first_rows(anchor, k, s, shared) -> pa.RecordBatch:
+def _first_rows(k, s, shared) -> pa.RecordBatch:
     code = np.asarray(s, np.int64) * 2 + np.asarray(shared, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(k, np.int64)), pa.array(code)], ["k", "code"])
 
@@ -124,7 +158,7 @@ def _sifted(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             data, offsets = flat(batch.column("t"))
-            first, last, anchor, _, row = runs(data, offsets, length, gram)
+            first, last, anchor, row = runs(data, offsets, length, gram)
             if not len(first):
                 continue
             k = batch.column("k").to_numpy()
@@ -158,19 +192,15 @@ def _stretches(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.
 
 
 def _sorted_copies(length: int, block: int):
-    """Of contexts in order of (anchor, piece): stretches of windows that repeat an earlier window."""
+    """Of contexts in order of their anchors: stretches of windows that repeat an earlier window."""
 
     def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         data, offsets = flat(table.column("bytes"))
-        k, s, n, piece, pieces = (table.column(c).to_numpy() for c in ("k", "s", "n", "piece", "pieces"))
+        k, s, n = (table.column(c).to_numpy() for c in ("k", "s", "n"))
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         start = offsets[row] + within
-        if (pieces > 1).any():
-            hashes = span_hashes(prefix_hashes(BYTE_VALUE[data]), start, start + length)
-            mine = (hashes % pieces[row].astype(np.uint64)).astype(np.int64) == piece[row]
-            row, within, start = row[mine], within[mine], start[mine]
         place = np.lexsort((s[row] + within, k[row]))  # equal suffixes keep this order, so the first is the earliest
         row, within, start = row[place], within[place], start[place]
         order, shared = Suffixes(data, start, length).sort()
@@ -187,12 +217,12 @@ def _sorted_copies(length: int, block: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, p = batch.column("anchor").to_numpy(), batch.column("piece").to_numpy()
-            cuts = np.flatnonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1])) + 1
+            a = batch.column("anchor").to_numpy()
+            cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
             bytes_upto = np.concatenate(([0], np.cumsum(pa.compute.binary_length(batch.column("bytes")).to_numpy())))
             at = 0
             for edge in [0, *cuts.tolist()]:
-                new = edge > 0 or (a[0], p[0]) != last
+                new = edge > 0 or a[0] != last
                 if new and size + bytes_upto[edge] - bytes_upto[at] >= block:
                     if edge > at:
                         held.append(batch.slice(at, edge - at))
@@ -200,16 +230,42 @@ def _sorted_copies(length: int, block: int):
                     held, size, at = [], 0, edge
             held.append(batch.slice(at))
             size += int(bytes_upto[-1] - bytes_upto[at])
-            last = (a[-1], p[-1])
+            last = a[-1]
         if held:
             yield from answer(held)
+        released()
+
+    return run
+
+
+def _windows(length: int):
+    """``(w0, w1, k, s)``: each window of contexts by itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "bytes", 1 << 16):
+            data, offsets = flat(batch.column("bytes"))
+            k, s, n = (batch.column(c).to_numpy() for c in ("k", "s", "n"))
+            row = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = offsets[row] + within
+            told = digests(data.tobytes(), start, start + length)
+            yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1]), pa.array(k[row]), pa.array((s[row] + within).astype(np.int32))], ["w0", "w1", "k", "s"])
 
     return run
 
 
+def hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """``(k, s, n)``: windows of ``contexts`` that come earlier in another of them."""
+    windows = written(contexts.select("k", "s", "n", "bytes").mapInArrow(_windows(length), "w0 long, w1 long, k long, s int"), "windows")
+    # The least place of each: of the least document, then in it. Both are grouped minima of plain numbers.
+    inside = windows.groupBy("w0", "w1", "k").agg(F.min("s").alias("s"))
+    least = written(inside.groupBy("w0", "w1").agg(F.min("k").alias("k0"), F.min_by("s", "k").alias("s0"), F.count("*").alias("docs")), "first-windows")
+    return windows.join(least, ["w0", "w1"]).where("k <> k0 or s <> s0").select("k", "s", F.lit(1).alias("n"))
+
+
 def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
     """``(k, t)`` with k unique: the keys, or if some repeat or are null, numbers in the order of (key, text)."""
-    plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    plain = batched(docs).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     row = plain.agg(F.count("*").alias("n"), F.count_distinct("k").alias("d")).first()
     if row.n == row.d:
         return plain.withColumn("k", F.col("k").cast("long")), True
@@ -220,18 +276,21 @@ def _numbered(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, bool]:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``(k, s, n)``: windows s to s+n-1 of ``docs (k unique, t)`` that start earlier elsewhere too; stretches may overlap."""
     spark = docs.sparkSession
-    named = docs.select("k", "t").mapInArrow(_named_runs(length, gram), "anchor long, context long, k long, s int")
-    dealt = named.repartition(parts(spark), "anchor").sortWithinPartitions("anchor", "context", "k", "s")
+    named = docs.select("k", "t").mapInArrow(_named_runs(length, gram), "anchor long, c0 long, c1 long, k long, s int")
+    frequent = F.broadcast(frequent_anchors(docs, length, gram).withColumn("hot", F.lit(True)))  # LARGEST rows at most
+    named = named.join(frequent, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = named.withColumn("piece", F.when(F.col("hot"), F.col("c0"))).repartition(parts(spark), "anchor", "piece").sortWithinPartitions("anchor", "c0", "c1", "k", "s")
     firsts = dealt.mapInArrow(_firsts, "k long, code long").groupBy("k").agg(F.sort_array(F.collect_list("code")).alias("codes"))  # at most a document's windows
     sifted = docs.select("k", "t").join(firsts, "k", "left").select("k", "t", F.coalesce("codes", F.array().cast("array<long>")).alias("codes"))
     sifted = written(sifted.mapInArrow(_sifted(length, gram), "kind int, k long, s int, n int, anchor long, bytes binary"), "sifted")
     contexts = sifted.where("kind = 1")
-    hot = written(contexts.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > hot_runs).select("anchor", F.ceil(F.col("c") / hot_runs).cast("int").alias("p")), "hot-anchors")
-    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
-    pieces = contexts.join(hot, "anchor", "left").withColumn("pieces", F.coalesce("p", F.lit(1)))
-    pieces = pieces.select("anchor", "k", "s", "n", "bytes", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    grouped = pieces.repartition(parts(spark), "anchor", "piece").sortWithinPartitions("anchor", "piece")
+    hot = written(contexts.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > hot_runs).select("anchor"), "hot-anchors")
+    many = hot.count()
+    hot = F.broadcast(hot) if many <= 100_000 else hot
+    grouped = contexts.join(hot, "anchor", "left_anti").select("anchor", "k", "s", "n", "bytes").repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
     again = grouped.mapInArrow(_sorted_copies(length, SORT_BYTES), "k long, s int, n int")
+    if many:
+        again = again.union(hot_repeats(contexts.join(hot, "anchor", "left_semi"), length))
     return sifted.where("kind = 0").select("k", "s", "n").union(again)
 
 
