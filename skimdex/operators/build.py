@@ -17,8 +17,8 @@ from ..sources.store import DataFile
 
 #: Keys of a sample: a share of a file's keys, and at least so many; parts of the equi-depth statistics.
 SAMPLE_RATE, SAMPLE_LEAST, PARTS = 0.05, 24, 5
-#: Bits and hash functions of a file's Bloom filter; beyond so many keys it would be full and is left out.
-BLOOM_BITS, BLOOM_HASHES, BLOOM_KEYS = 1 << 20, 3, 100_000
+#: Least bits of a file's Bloom filter (a power of two), bits for each key and subset of columns, and hash functions.
+BLOOM_LEAST, BLOOM_PER_KEY, BLOOM_HASHES = 1 << 20, 10, 3
 
 
 def located(spark: SparkSession, table: str, files: Sequence[str]) -> DataFrame:
@@ -32,10 +32,16 @@ def key_names(index: IndexMeta) -> list[str]:
     return [f"k{i}" for i in range(len(index.columns))]
 
 
-def bloom_positions(keys: Sequence[Column], mask: int) -> list[Column]:
-    """Bits of one subset of the key columns (bit i of ``mask``: column i)."""
+def bloom_hashes(keys: Sequence[Column], mask: int) -> list[Column]:
+    """The hashes of one subset of the key columns (bit i of ``mask``: column i); their low bits are Bloom bits."""
     own = [k for i, k in enumerate(keys) if mask >> i & 1]
-    return [F.pmod(F.xxhash64(F.lit(mask), F.lit(h), *own), F.lit(BLOOM_BITS)).cast("int") for h in range(BLOOM_HASHES)]
+    return [F.xxhash64(F.lit(mask), F.lit(h), *own) for h in range(BLOOM_HASHES)]
+
+
+def bloom_size(keys: Column, subsets: int) -> Column:
+    """Bits for so many keys: the next power of two, so that the filter never fills up however large the file is."""
+    wanted = F.greatest(keys * (BLOOM_PER_KEY * subsets), F.lit(BLOOM_LEAST)).cast("double")
+    return F.pow(F.lit(2.0), F.least(F.ceil(F.log2(wanted)), F.lit(30))).cast("long")
 
 
 def masks(n: int) -> list[int]:
@@ -68,7 +74,8 @@ def file_statistics(held: DataFrame, names: Sequence[str]) -> DataFrame:
     by_hash, by_key = Window.partitionBy("file").orderBy(F.xxhash64(*names)), Window.partitionBy("file").orderBy(*names)
     keys = held.where(whole).withColumn("at", F.row_number().over(by_hash)).withColumn("part", F.ntile(PARTS).over(by_key)).withColumn("upto", F.sum("n").over(by_key)).withColumn("keys", F.count("*").over(Window.partitionBy("file")))
     chosen = F.col("at") <= F.greatest(F.ceil(F.col("keys") * SAMPLE_RATE), F.least(F.lit(SAMPLE_LEAST), F.col("keys")))
-    bits = F.array(*(p for m in masks(len(names)) for p in bloom_positions([F.col(n) for n in names], m)))
-    parts = keys.groupBy("file", "part").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.max("upto").alias("upto"), F.count("*").alias("keys"), F.collect_list(F.when(chosen, key)).alias("sample"), F.when(F.max("keys") <= BLOOM_KEYS, F.flatten(F.collect_set(F.when(F.col("keys") <= BLOOM_KEYS, bits)))).alias("bloom"))
-    stats = parts.groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("keys").alias("keys"), F.flatten(F.collect_list("sample")).alias("sample"), F.sort_array(F.collect_list(F.struct("part", "low", "high", "upto"))).alias("parts"), F.array_distinct(F.flatten(F.collect_list("bloom"))).alias("bloom"))
+    size = bloom_size(F.col("keys"), len(masks(len(names))))
+    bits = F.array(*(h.bitwiseAND(size - 1).cast("int") for m in masks(len(names)) for h in bloom_hashes([F.col(n) for n in names], m)))
+    parts = keys.groupBy("file", "part").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.max("upto").alias("upto"), F.count("*").alias("keys"), F.collect_list(F.when(chosen, key)).alias("sample"), F.max(size).alias("bits"), F.flatten(F.collect_set(bits)).alias("bloom"))
+    stats = parts.groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("keys").alias("keys"), F.flatten(F.collect_list("sample")).alias("sample"), F.sort_array(F.collect_list(F.struct("part", "low", "high", "upto"))).alias("parts"), F.max("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bloom")))).alias("bloom"))
     return held.groupBy("file").agg(F.sum("n").alias("rows"), F.sum(F.when(F.expr(f"not ({whole})"), F.col("n")).otherwise(0)).alias("nulls")).join(stats, "file", "left")

@@ -6,25 +6,19 @@ worth it just leaves more files in the scan.
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .build import bloom_positions, key_names, located
+from .build import located
 from .choose import Candidate, choose
-from .intervals import Interval, union
-from .policy import SIZE_RATIO, Verdict, combined, verdict
-from .predicate import compile_predicate
-
-#: Files that a plan lists one by one; a scan of more goes over the table as a whole.
-MOST_FILES = 20_000
+from .metadata import matching, size_of, table_of, verdicts
+from .policy import SIZE_RATIO, Verdict, combined
+from .predicate import Compiled, blank, compile_predicate
 
 
 @dataclass
@@ -37,203 +31,129 @@ class ScanReport:
     full: int = 0
     missed: int = 0  # of those used: files whose index has no matching key
     indexes: list[str] = field(default_factory=list)
+    looked_up: bool = False  # whether keys were looked up; else files to be used are read as they are
     index_rows: int = 0
+    bytes_read: int = 0
+    bytes_skipped: int = 0
     read: list[str] = field(default_factory=list)
 
 
-def fitting(value, kind: T.DataType):
-    """``value`` as a key of the column's type, or None if comparing the two would cast the column."""
-    if isinstance(kind, T.StringType):
-        return value if isinstance(value, str) else None
-    if isinstance(kind, T.BooleanType):
-        return value if isinstance(value, bool) else None
-    if isinstance(kind, T.NumericType):
-        if isinstance(value, bool) or not isinstance(value, (int, float, decimal.Decimal)):
-            return None
-        return float(value) if isinstance(kind, (T.DoubleType, T.FloatType)) and not isinstance(kind, T.FloatType) else value
-    try:
-        if isinstance(kind, T.DateType):
-            value = dt.date.fromisoformat(value) if isinstance(value, str) else value
-            return value if isinstance(value, dt.date) and not isinstance(value, dt.datetime) else None
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            value = dt.datetime.fromisoformat(value) if isinstance(value, str) else value
-            if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
-                value = dt.datetime(value.year, value.month, value.day)
-            return value if isinstance(value, dt.datetime) else None
-    except ValueError:
-        return None
-    return None
-
-
-def fitted(ranges: dict[str, list[Interval]], schema: T.StructType) -> dict[str, list[Interval]]:
-    """The ranges whose bounds are of their column's type."""
-    kinds = {f.name.lower(): f.dataType for f in schema.fields}
-    out = {}
-    for column, intervals in ranges.items():
-        if (kind := kinds.get(column)) is None:
-            continue
-        made = []
-        for i in intervals:
-            low, high = (None if b is None else fitting(b, kind) for b in (i.low, i.high))
-            if (low is None) != (i.low is None) or (high is None) != (i.high is None):
-                break
-            made.append(Interval(low, high, i.low_in, i.high_in, i.null))
-        else:
-            out[column] = union(made)
-    return out
-
-
-def _holds(column: Column, kind: T.DataType, intervals: Sequence[Interval]) -> Column:
-    parts = []
-    for i in intervals:
-        if i.null:
-            parts.append(column.isNull())
-            continue
-        part = column.isNotNull()
-        if i.low is not None:
-            low = F.lit(i.low)
-            part &= column >= low if i.low_in else column > low
-        if i.high is not None:
-            high = F.lit(i.high)
-            part &= column <= high if i.high_in else column < high
-        parts.append(part)
-    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
-
-
-def matching(entries: DataFrame, c: Candidate) -> DataFrame:
-    """The rows of index ``entries`` that lie in the candidate's key space; the range reaches the Parquet scan."""
-    names = dict(zip(c.index.columns, key_names(c.index), strict=True))
-    for column, interval in c.equal:
-        entries = entries.where(_holds(F.col(names[column]), None, [interval]))
-    if c.last:
-        entries = entries.where(_holds(F.col(names[c.last[0]]), None, c.last[1]))
-    return entries
-
-
 class Scanner:
     """Plans scans of one table; see ``Table`` for the public face."""
 
     def __init__(self, engine, table):
         self.engine, self.table, self.spark = engine, table, engine.spark
+        self._blank: tuple | None = None  # a schema, and an empty table of it
+
+    def compiled(self, predicate: str | None) -> Compiled:
+        if not predicate or not self.engine.conf["index.enabled"]:
+            return Compiled()
+        schema = self.table.schema
+        if self._blank is None or self._blank[0] is not schema:
+            self._blank = schema, blank(self.spark, schema)
+        return compile_predicate(self._blank[1], predicate)
+
+    def candidates(self, compiled: Compiled) -> list[Candidate]:
+        if not self.engine.conf["index.enabled"] or not compiled.ranges:
+            return []
+        return choose(self.table.catalog.indexes(), compiled.ranges, self.engine.disabled, self.engine.conf["index.most"])
 
-    def _live(self, c: Candidate, now: dict) -> tuple[dict[str, dict], list[str]]:
-        """Statistics of the files that the index knows as they are now, and the versions to look in."""
-        out, catalog = {}, self.table.catalog
-        names = key_names(c.index)
-        for version in c.index.versions:
-            for row in self.spark.read.parquet(f"{catalog.root}/{c.index.name}/{version}/files").drop("bloom").collect():
-                f = now.get(row.file)
-                if f is not None and (f.size, f.modified) == (row.size, row.modified):
-                    key = lambda s: None if s is None else tuple(s[n] for n in names)
-                    out[row.file] = {"rows": row.rows or 0, "nulls": row.nulls or 0, "low": key(row.low), "high": key(row.high), "sample": [key(s) for s in row["sample"] or []], "parts": [(key(p.low), key(p.high), p.upto) for p in row.parts or []], "version": version}
-        return out, c.index.versions
-
-    def _bloom(self, c: Candidate) -> dict[str, bool]:
-        """Per file whether its Bloom filter may hold one of the candidate's keys (only single values are asked)."""
-        boxes = [(*(i for _, i in c.equal), i) for i in c.last[1]] if c.last else [tuple(i for _, i in c.equal)]
-        if not boxes or any(not i.point for box in boxes for i in box):
-            return {}
-        root = f"{self.table.catalog.root}/{c.index.name}"
+    def live(self, c: Candidate, now: dict) -> dict[str, tuple[str, Verdict]]:
+        """Of the files that the index covers and knows as they are now: the version they are in, and the verdict."""
+        kinds = {f.name: f.dataType for f in self.table.schema.fields}
         out = {}
-        for version in c.index.versions:
-            files = self.spark.read.parquet(f"{root}/{version}/files")
-            kinds = [f.dataType for f in files.schema["low"].dataType.fields]
-            mask = (1 << len(boxes[0])) - 1
-            if len(kinds) > 4 and len(boxes[0]) not in (1, len(kinds)):
-                continue
-            hit = F.lit(False)
-            for box in boxes:
-                keys = [F.lit(i.low).cast(kinds[n]) for n, i in enumerate(box)]
-                hit |= reduce(lambda a, b: a & b, (F.array_contains("bloom", p) for p in bloom_positions(keys, mask)))
-            out |= {r.file: r.hit for r in files.where("bloom is not null and size(bloom) > 0").select("file", hit.alias("hit")).collect()}
+        for path, size, modified, version, found in verdicts(self.spark, self.table.catalog, c, [kinds[x] for x in c.index.columns], self.engine.conf):
+            f = now.get(path)
+            if f is not None and (f.size, f.modified) == (size, modified) and c.index.covers(f.partition(self.table.path)):
+                out[path] = version, Verdict(found)
         return out
 
-    def _found(self, c: Candidate) -> dict[str, int]:
-        """Rows of each file that the index says match; one row a file reaches the driver."""
-        root, out = f"{self.table.catalog.root}/{c.index.name}", {}
-        for version in c.index.versions:
-            hits = matching(self.spark.read.parquet(f"{root}/{version}/entries"), c).groupBy("file").agg(F.sum("n").alias("n"))
-            out |= {r.file: r.n for r in hits.collect()}
+    def entries(self, c: Candidate, live: dict[str, tuple[str, Verdict]]) -> DataFrame:
+        """The matching entries of just those (file, version) that are ``live``."""
+        pairs = self.spark.createDataFrame([(p, v) for p, (v, _) in live.items()], "file string, version string")
+        return matching(table_of(self.spark, self.table.catalog, c.index, "entries"), c).join(pairs, ["file", "version"], "left_semi")
+
+    def _found(self, chosen: list[Candidate], live: list[dict]) -> list[dict[str, int]]:
+        """For each candidate, the rows of each file that its index says match: one job, one row a file."""
+        hits = [self.entries(c, known).groupBy("file").agg(F.sum("n").alias("n")).select(F.lit(i).alias("i"), "file", "n") for i, (c, known) in enumerate(zip(chosen, live, strict=True)) if known]
+        out: list[dict[str, int]] = [{} for _ in chosen]
+        if hits:
+            for row in reduce(DataFrame.union, hits).collect():
+                out[row.i][row.file] = row.n
         return out
 
-    def candidates(self, predicate: str) -> list[Candidate]:
-        conf = self.engine.conf
-        if not conf["index.enabled"]:
-            return []
-        ranges = fitted(compile_predicate(self.spark, predicate), self.table.schema)
-        return choose(self.table.catalog.indexes(), ranges, self.engine.disabled, conf["index.most"])
+    def _worth(self, c: Candidate, data_bytes: int) -> bool:
+        """Whether the index is small beside the files that its keys may rule out."""
+        catalog = self.table.catalog
+        return sum(size_of(catalog, f"{catalog.root}/{c.index.name}/{v}/entries") for v in c.index.versions) <= SIZE_RATIO * data_bytes
 
-    def scan(self, predicate: str | None, columns: Sequence[str] | None = None, fetch: str = "files", cache: bool = False) -> tuple[DataFrame, ScanReport]:
+    def plan(self, compiled: Compiled, fetch: str = "files") -> tuple[ScanReport, list[Candidate], list[dict]]:
+        """Which files to read; also the candidates and the files that each knows."""
         now = {f.path: f for f in self.table.files()}
-        report = ScanReport(files=len(now))
-        chosen = self.candidates(predicate) if predicate and 0 < len(now) <= MOST_FILES else []
+        report, size = ScanReport(files=len(now)), lambda paths: sum(now[p].size for p in paths)
+        if compiled.never:
+            report.skipped, report.bytes_skipped = len(now), size(now)
+            return report, [], []
+        chosen = self.candidates(compiled) if now else []
         if not chosen:
-            report.full, report.read = len(now), list(now)
-            return self._read(list(now), predicate, columns, [], fetch, cache), report
+            report.full, report.read, report.bytes_read = len(now), list(now), size(now)
+            return report, [], []
         report.indexes = [c.index.name for c in chosen]
-        live = [self._live(c, now)[0] for c in chosen]
-        bloom = [self._bloom(c) if self.engine.conf["statistics.bloom"] and c.index.kind == "btree" else {} for c in chosen]
-        verdicts = {}
-        for path in now:
-            each = []
-            for c, stats, maybe in zip(chosen, live, bloom, strict=True):
-                own = stats.get(path)
-                if own is None or not self.engine.conf["statistics.enabled"] or c.index.kind == "bitmap":
-                    each.append(Verdict.FULL if own is None else Verdict.USE)
-                else:
-                    each.append(verdict(c, own, maybe.get(path), self.engine.conf["statistics.threshold"]))
-            verdicts[path] = combined(each)
-        use = [p for p, v in verdicts.items() if v is Verdict.USE]
-        found = [self._found(c) for c in chosen] if use else [{} for _ in chosen]
-        hit = [p for p in use if all(p not in stats or p in rows for stats, rows in zip(live, found, strict=True))]
-        full = [p for p, v in verdicts.items() if v is Verdict.FULL]
+        live = [self.live(c, now) for c in chosen]
+        final = {path: combined([known[path][1] if path in known else Verdict.FULL for known in live]) for path in now}
+        use = [p for p, v in final.items() if v is Verdict.USE]
+        full = [p for p, v in final.items() if v is Verdict.FULL]
+        hit = use
+        if use and (fetch == "rows" or all(self._worth(c, size(use)) for c in chosen)):
+            found = self._found(chosen, [{p: known[p] for p in use if p in known} for known in live])
+            hit = [p for p in use if all(p not in known or p in rows for known, rows in zip(live, found, strict=True))]
+            report.looked_up, report.missed = True, len(use) - len(hit)
+            report.index_rows = min((sum(rows.get(p, 0) for p in hit) for rows in found), default=0)
         report.skipped, report.used, report.full = len(now) - len(use) - len(full), len(use), len(full)
-        report.missed, report.index_rows = len(use) - len(hit), min((sum(rows.get(p, 0) for p in hit) for rows in found), default=0)
         report.read = sorted([*hit, *full])
-        return self._read(report.read, predicate, columns, chosen, fetch, cache, full), report
+        report.bytes_read = size(report.read)
+        report.bytes_skipped = size(now) - report.bytes_read
+        return report, chosen, live
 
-    def _read(self, files: list[str], predicate, columns, chosen, fetch: str, cache: bool, full: Sequence[str] = ()) -> DataFrame:
-        schema = self.table.schema
-        if not files:
-            df = self.spark.createDataFrame([], schema)
-        elif fetch == "rows" and chosen:
-            df = self._fetched(files, chosen, full)
+    def scan(self, predicate: str | None, columns: Sequence[str] | None = None, fetch: str = "files", cache: bool = False) -> tuple[DataFrame, ScanReport]:
+        report, chosen, live = self.plan(self.compiled(predicate), fetch)
+        if fetch == "rows" and chosen and report.read:
+            df = self._fetched(report.read, chosen, live)
         else:
-            df = self.spark.read.schema(schema).option("basePath", self.table.path).parquet(*files)
-        if predicate:
-            df = df.where(predicate)
+            df = self.over([self.table.path] if 0 < report.files == len(report.read) else report.read)
+        df = df.where(predicate) if predicate else df
         df = df.select(*columns) if columns else df
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
-
-    def _fetched(self, files: list[str], chosen: list[Candidate], full: Sequence[str]) -> DataFrame:
-        """Rows by their numbers: a semi-join on (file, row); several indexes' row numbers are intersected."""
-        rows = located(self.spark, self.table.path, files)
-        direct = rows.where(F.col("_file").isin(list(full))) if full else None
-        picked = rows.where(~F.col("_file").isin(list(full))) if full else rows
-        for c in chosen:
-            ids = self.row_ids(c).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-            picked = picked.join(ids, ["_file", "_row"], "left_semi")
-        out = picked if direct is None else picked.unionByName(direct)
-        return out.select(*self.table.schema.names)
-
-    def row_ids(self, c: Candidate) -> DataFrame:
-        """``(file, row)`` of every row in the candidate's key space."""
-        root, out = f"{self.table.catalog.root}/{c.index.name}", None
-        for version in c.index.versions:
-            entries = matching(self.spark.read.parquet(f"{root}/{version}/entries"), c)
-            if c.index.kind == "bitmap":
-                merged = entries.groupBy("file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-                one = merged.select("file", "bucket", F.explode(bit_numbers(F.col("bitmap"))).alias("bit")).select("file", ((F.col("bucket") - 1) * 32768 + F.col("bit")).alias("row"))
-            else:
-                one = entries.select("file", F.explode("rows").alias("row"))
-            out = one if out is None else out.union(one)
-        return out
+        return (df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df), report
 
+    def over(self, files: list[str]) -> DataFrame:
+        """The rows of just those files of the table."""
+        if not files:
+            return self.spark.createDataFrame([], self.table.schema)
+        return self.spark.read.schema(self.table.schema).option("basePath", self.table.path).parquet(*files)
 
-def bit_numbers(bitmap: Column) -> Column:
-    """Positions of the set bits of a bitmap, by its non-zero bytes."""
-    byte = lambda i: F.conv(F.substring(F.hex(bitmap), i * 2 + 1, 2), 16, 10).cast("int")
-    hexed = F.sequence(F.lit(0), F.greatest(F.octet_length(bitmap) - 1, F.lit(0)))
-    filled = F.filter(hexed, lambda i: F.substring(bitmap, i + 1, F.lit(1)) != F.lit(bytearray(b"\x00")))
-    bits = F.transform(filled, lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(F.getbit(byte(i), b) == 1, i * 8 + b)), lambda x: x.isNotNull()))
-    return F.flatten(bits)
+    def _fetched(self, files: list[str], chosen: list[Candidate], live: list[dict]) -> DataFrame:
+        """Rows by their numbers. A file's rows are held against the indexes that know it, and against no other."""
+        rows = located(self.spark, self.table.path, files)
+        for c, known in zip(chosen, live, strict=True):
+            mine = {p: known[p] for p in files if p in known and known[p][1] is Verdict.USE}
+            if not mine:
+                continue
+            picked = self._picked(rows, c, mine)
+            if len(mine) < len(files):
+                others = self.spark.createDataFrame([(p,) for p in mine], "_file string")
+                picked = picked.unionByName(rows.join(others, "_file", "left_anti"))
+            rows = picked
+        return rows.select(*self.table.schema.names)
+
+    def _picked(self, rows: DataFrame, c: Candidate, live: dict) -> DataFrame:
+        """Of the ``live`` files' rows, those whose numbers the candidate's entries hold."""
+        entries = self.entries(c, live)
+        if c.index.kind != "bitmap":
+            ids = entries.select(F.col("file").alias("_file"), F.explode("rows").alias("_row"))
+            return rows.join(ids, ["_file", "_row"], "left_semi")
+        # Each row asks its own bit of the merged bitmap of its bucket. Bit 0 of a bucket is number 1.
+        merged = entries.groupBy("file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("_bits")).select(F.col("file").alias("_file"), F.col("bucket").alias("_bucket"), "_bits")
+        at = F.bitmap_bit_position(F.col("_row") + 1).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        asked = rows.withColumn("_bucket", F.bitmap_bucket_number(F.col("_row") + 1)).join(merged, ["_file", "_bucket"])
+        return asked.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)

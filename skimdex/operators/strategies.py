@@ -9,31 +9,25 @@ from pyspark.sql import functions as F
 
 from .build import key_names
 from .choose import Candidate
-from .scan import matching
+from .intervals import NULL
+from .predicate import columns_of
 
 
-def _entries(table, c: Candidate) -> DataFrame:
-    """Entries of the candidate's index, if it knows every file as it is now; else None."""
-    now = {f.path: f for f in table.files()}
-    live, _ = table.scanner._live(c, now)
-    if set(live) != set(now):
-        return None
-    out = None
-    for version in c.index.versions:
-        one = matching(table.engine.spark.read.parquet(f"{table.catalog.root}/{c.index.name}/{version}/entries"), c)
-        out = one if out is None else out.union(one)
-    return out.where(F.col("file").isin(list(now))) if len(c.index.versions) > 1 else out
-
-
-def _on(table, predicate: str, column: str, kind: str | None = None) -> Candidate | None:
-    """The candidate for a predicate that is about ``column`` alone, led by that column."""
-    from .predicate import columns_of, parse
+def _entries(table, predicate: str, column: str, kind: str | None = None) -> tuple[Candidate | None, DataFrame | None]:
+    """The index led by ``column`` that answers a predicate about that column alone, and its matching entries.
 
-    if not predicate or columns_of(parse(table.engine.spark, predicate)) != {column.lower()}:
-        return None
-    found = table.scanner.candidates(predicate)
-    fits = [c for c in found if c.index.columns[0].lower() == column.lower() and (kind is None or c.index.kind == kind)]
-    return fits[0] if fits else None
+    Entries only if the index knows every file as it is now: none of a file that is gone or has changed. They have
+    met the predicate itself, on the key.
+    """
+    if not predicate or columns_of(table.engine.spark, predicate) != {column.lower()}:
+        return None, None
+    found = table.scanner.candidates(table.scanner.compiled(predicate))
+    c = next((c for c in found if c.index.columns[0].lower() == column.lower() and kind in (None, c.index.kind)), None)
+    now = {f.path: f for f in table.files()}
+    if c is None or not now or set(live := table.scanner.live(c, now)) != set(now):
+        return c, None
+    k, name = key_names(c.index)[0], c.index.columns[0]
+    return c, table.scanner.entries(c, live).withColumnRenamed(k, name).where(predicate).withColumnRenamed(name, k)
 
 
 def top_k(table, predicate: str, key: str, n: int, ascending: bool = True, columns: Sequence[str] | None = None, ties: Sequence[str] = ()) -> DataFrame:
@@ -42,13 +36,13 @@ def top_k(table, predicate: str, key: str, n: int, ascending: bool = True, colum
     ``ties``: further columns to order by. Without a B-tree on the key alone, the plain plan.
     """
     order = [F.asc(key) if ascending else F.desc(key), *(F.asc(t) for t in ties)]
-    c = _on(table, predicate, key, "btree")
-    entries = _entries(table, c) if c is not None and n > 0 else None
+    c, entries = _entries(table, predicate, key, "btree") if n > 0 else (None, None)
     if entries is not None:
         k = F.col(key_names(c.index)[0])
         edge = entries.select(k.alias("k")).where("k is not null").orderBy(F.asc("k") if ascending else F.desc("k")).limit(n)
-        row = edge.agg((F.max if ascending else F.min)("k").alias("edge"), F.count("*").alias("c"), F.count_if(F.col("k").isNull()).alias("nulls")).first()
-        if row.c == n and "null" not in predicate.lower():
+        row = edge.agg((F.max if ascending else F.min)("k").alias("edge"), F.count("*").alias("c")).first()
+        nulls = any(i.null for i in table.scanner.compiled(predicate).ranges.get(key.lower(), [NULL]))
+        if row.c == n and not (nulls and ascending):  # nulls would come first
             df, _ = table.scanner.scan(predicate)
             near = F.col(key) <= F.lit(row.edge) if ascending else F.col(key) >= F.lit(row.edge)
             return df.where(near).orderBy(*order).limit(n).select(*(columns or df.columns))
@@ -62,8 +56,7 @@ def semi_join(left: DataFrame, on: str, right, predicate: str, key: str, residua
     Without a residual condition the right side is one row a key, read from an index on the key if one fits.
     Spark broadcasts it if its size at run time is below the session's threshold.
     """
-    c = None if residual else _on(right, predicate, key)
-    entries = _entries(right, c) if c is not None else None
+    c, entries = (None, None) if residual else _entries(right, predicate, key)
     if entries is not None:
         keys = entries.select(F.col(key_names(c.index)[0]).alias("_key")).distinct()
     else:
@@ -78,9 +71,8 @@ def group_by(table, predicate: str, key: str, **aggregates: Column) -> DataFrame
 
 def count_by_key(table, predicate: str, key: str) -> DataFrame:
     """``key, n`` for each key in range: from the index alone where one covers the table."""
-    c = _on(table, predicate, key, "btree")
-    entries = _entries(table, c) if c is not None and len(c.index.columns) == 1 else None
-    if entries is None:
+    c, entries = _entries(table, predicate, key, "btree")
+    if entries is None or len(c.index.columns) > 1:
         return table.filter(predicate).groupBy(key).agg(F.count("*").alias("n"))
     return entries.groupBy(F.col(key_names(c.index)[0]).alias(key)).agg(F.sum("n").cast("long").alias("n"))
 
@@ -89,8 +81,7 @@ def first_rows(table, predicate: str, key: str, n: int = 1) -> DataFrame:
     """For each key in range, its first ``n`` rows in order of file and place: ``key, file, row``."""
     from pyspark.sql import Window
 
-    c = _on(table, predicate, key, "btree")
-    entries = _entries(table, c) if c is not None else None
+    c, entries = _entries(table, predicate, key, "btree")
     if entries is None:
         raise ValueError(f"no index on {key} covers the table for {predicate!r}")
     k = F.col(key_names(c.index)[0])

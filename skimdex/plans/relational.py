@@ -30,7 +30,7 @@ SAME = {
     "agg_grouping_sets": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())",
     "agg_partial_final": f"select l_returnflag, l_linestatus, {_CENTS.format('l_quantity')} as q, {_CENTS.format('l_extendedprice')} as p, round(avg(l_discount), 6) as d, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus",
     "exists_query": "select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 49)",
-    "not_exists_query": "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)",
+    "not_exists_query": "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT')",
     "in_query": "select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 2)",
     "not_in_query": "select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 2)",
     "between_not_between": "select o_orderkey from orders where o_custkey between 5 and 50 and o_orderkey not between 100 and 9000",
@@ -44,7 +44,7 @@ SAME = {
     "case_searched": "select o_orderkey, case when o_totalprice > 300000 then 2 when o_totalprice > 100000 then 1 else 0 end as size from orders",
     "cast_types": "select o_orderkey, cast(o_custkey as varchar(20)) as t, cast(o_custkey as double) as d, cast('12' as int) as i from orders",
     "scalar_subquery": "select o_orderkey from orders where o_custkey = (select max(c_custkey) - 1 from customer)",
-    "typed_literals": "select o_orderkey, date '2020-02-03' as d, 1.5e0 as f, true as b, 'x' as s from orders where o_orderkey < 5",
+    "typed_literals": "select o_orderkey, date '2020-02-03' as d, 1.5e0 as f, true as b, 'x' as s from orders",
     "interval_literal": "select o_orderkey, cast(o_orderdate + interval '3' day as date) as d from orders",
     "join_inner": "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey",
     "join_cross": "select r_name, n_name from region cross join nation",
@@ -65,8 +65,8 @@ SAME = {
     "order_nulls_first": "select k, o_orderkey from (select nullif(o_custkey % 10, 0) as k, o_orderkey from orders) t order by k asc nulls first, o_orderkey limit 15",
     "set_union": "select n_regionkey as k from nation union select r_regionkey from region",
     "set_union_all": "select n_regionkey as k from nation union all select r_regionkey from region",
-    "set_intersect": "select o_custkey as k from orders intersect select c_custkey from customer where c_custkey < 500",
-    "set_except": "select c_custkey as k from customer except select o_custkey from orders",
+    "set_intersect": "select o_custkey as k from orders intersect select c_custkey from customer where c_acctbal > 0",
+    "set_except": "select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'",
     "set_intersect_all": "select n_regionkey as k from nation intersect all select r_regionkey from region",
     "set_except_all": "select n_regionkey as k from nation except all select r_regionkey from region",
     "cte": "with big as (select * from orders where o_totalprice > 250000), n as (select o_custkey, count(*) as c from big group by o_custkey) select * from n where c > 1",
@@ -83,10 +83,10 @@ PAIRS: dict[str, tuple[str, str]] = {
     "rlike": ("select p_partkey from part where p_name rlike '^[a-m].*e$'", "select p_partkey from part where regexp_matches(p_name, '^[a-m].*e$')"),
     "null_safe_equal": ("select o_orderkey from (select o_orderkey, nullif(o_custkey % 10, 0) as k from orders) t where k <=> null", "select o_orderkey from (select o_orderkey, nullif(o_custkey % 10, 0) as k from orders) t where k is not distinct from null"),
     "join_semi": ("select c_custkey from customer left semi join orders on c_custkey = o_custkey", "select c_custkey from customer where c_custkey in (select o_custkey from orders)"),
-    "join_anti": ("select c_custkey from customer left anti join orders on c_custkey = o_custkey", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)"),
+    "join_anti": ("select c_custkey from customer left anti join orders on c_custkey = o_custkey and o_orderpriority = '1-URGENT'", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')"),
     "join_hints": ("select /*+ merge(c) */ count(*) as n from orders join customer c on o_custkey = c_custkey", "select count(*) as n from orders join customer c on o_custkey = c_custkey"),
     "with_rollup_legacy": ("select o_orderstatus, count(*) as n from orders group by o_orderstatus with rollup", "select o_orderstatus, count(*) as n from orders group by rollup (o_orderstatus)"),
-    "lateral_explode": ("select o_orderkey, x from orders lateral view explode(array(1, 2)) t as x where o_orderkey < 100", "select o_orderkey, unnest([1, 2]) as x from orders where o_orderkey < 100"),
+    "lateral_explode": ("select o_orderkey, x from orders lateral view explode(array(1, 2)) t as x", "select o_orderkey, unnest([1, 2]) as x from orders"),
     "lateral_explode_outer": ("select r_regionkey, x from region lateral view outer explode(if(r_regionkey = 1, array(), array(r_regionkey))) t as x", "select r_regionkey, case when r_regionkey = 1 then null else r_regionkey end as x from region"),
     "table_function": ("select id from range(3, 12, 2)", "select range as id from range(3, 12, 2)"),
     "table_statement": ("table region", "select * from region"),

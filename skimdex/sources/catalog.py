@@ -29,8 +29,19 @@ class IndexMeta:
     kind: str  # btree or bitmap
     columns: list[str]
     ascending: list[bool]
-    partition: str | None = None  # the predicate of a partition-scoped index
     versions: list[str] = field(default_factory=list)  # one folder for each build or refresh
+    scopes: list[dict] = field(default_factory=list)  # partitions that it covers; none: the whole table
+    without: list[dict] = field(default_factory=list)  # partitions that were dropped from it
+
+    def covers(self, partition: dict) -> bool:
+        """Whether a file in ``partition`` (column: value as text) is its business."""
+        return (not self.scopes or any(within(partition, s) for s in self.scopes)) and not any(within(partition, s) for s in self.without)
+
+
+def within(partition: dict, scope: dict | None) -> bool:
+    """Whether a partition lies in ``scope``, which may name some of its columns only."""
+    known = {k.lower(): v for k, v in partition.items()}
+    return not scope or all(known.get(k.lower()) == v for k, v in scope.items())
 
 
 class Catalog:
@@ -57,7 +68,9 @@ class Catalog:
         self.store.write_json(self._file, {"indexes": [asdict(x) for x in indexes]})
 
     def put(self, index: IndexMeta) -> None:
-        self.save([*(x for x in self.indexes() if x.name != index.name), index])
+        """Adds the index, or replaces it in its place."""
+        known = self.indexes()
+        self.save([index if x.name == index.name else x for x in known] + [index] * all(x.name != index.name for x in known))
 
     def remove(self, name: str) -> None:
         self.index(name)

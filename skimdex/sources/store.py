@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +18,12 @@ class DataFile:
     modified: int
 
 
+    def partition(self, table: str) -> dict[str, str]:
+        """The partition columns and values, as text, that the folders below ``table`` name."""
+        folders = self.path[len(table) :].strip("/").split("/")[:-1]
+        return {k: unquote(v) for k, v in (x.split("=", 1) for x in folders if "=" in x)}
+
+
 class Store:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -63,17 +71,24 @@ class Store:
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fs.makeQualified(p), fs.makeQualified(target), options)
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below ``path``; 0 if there is none."""
+        p, fs = self._at(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
     def data_files(self, table: str) -> list[DataFile]:
-        """The Parquet files below ``table``, partitions included; names that begin with _ or . are no data."""
-        root, fs = self._at(table)
-        if not fs.exists(root):
+        """The Parquet files below ``table``, partitions included; names that begin with _ or . are no data.
+
+        Spark lists them (in a job where folders are many), and one text brings them over.
+        """
+        if not self.exists(table):
             return []
-        base, out = fs.makeQualified(root).toString().rstrip("/"), []
-        found = fs.listFiles(root, True)
-        while found.hasNext():
-            f = found.next()
-            path = f.getPath().toString()
-            inner = path[len(base) :].strip("/").split("/")
-            if path.endswith(".parquet") and not any(x[:1] in "_." for x in inner):
-                out.append(DataFile(path, f.getLen(), f.getModificationTime()))
-        return sorted(out, key=lambda x: x.path)
+        base = self.qualified(table).rstrip("/")
+        location = self.spark.read.schema("nothing int").parquet(base)._jdf.queryExecution().analyzed().relation().location()
+        listed = _STATUS.findall(location.allFiles().mkString("\n"))
+        found = [DataFile(path, int(size), int(modified)) for path, size, modified in listed if path.endswith(".parquet")]
+        return sorted(found, key=lambda x: x.path)
+
+
+#: A file's path, length and time of modification in the text of Hadoop's FileStatus.
+_STATUS = re.compile(r"Status\{path=(.+?); isDirectory=false; length=(\d+);.*?modification_time=(\d+);")
