@@ -216,8 +216,8 @@ def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of ``data`` on as one number; zeros follow its end."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    padded = data if len(data) > 7 and not data[-8:].any() else np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
 
 
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -225,7 +225,8 @@ _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For each i, whether ``size[i]`` bytes of ``a`` from a_start[i] equal those of ``b`` from b_start[i]."""
-    x, y = _words(a), _words(b)
+    x = _words(a)
+    y = x if b is a else _words(b)
     same = (x[a_start] ^ y[b_start]) & _LOW_BYTES[np.minimum(size, 8)] == 0
     more = np.flatnonzero(same & (size > 8))
     same[more] = x[a_start[more] + size[more] - 8] == y[b_start[more] + size[more] - 8]

@@ -35,7 +35,7 @@ class PieceMemory:
         #: In the order of ``keys``: where a piece's ids and its bytes begin, and how many there are.
         self.keys = np.empty(0, np.uint64)
         self.at, self.size, self.spelt, self.length = (np.empty(0, np.int32) for _ in range(4))
-        self.pool, self.raw = np.empty(0, np.uint32), np.empty(0, np.uint8)
+        self.pool, self.raw = np.empty(0, np.uint32), np.zeros(8, np.uint8)  # eight zeros follow the bytes
 
     @property
     def held(self) -> int:
@@ -64,11 +64,14 @@ class PieceMemory:
             new = first[~known]
             self._learn(data, distinct[~known], start[new], end[new], head[new])
             spot = np.searchsorted(self.keys, distinct)
-        spot = spot[which]
-        at, size = self.at[spot].astype(np.int64), self.size[spot].astype(np.int64)
-        # What was found is held against the bytes; a piece that only shares a hash gets ids of its own.
-        fine = self.length[spot] == end - start
-        fine[fine] = same_bytes(data, start[fine], self.raw, self.spelt[spot[fine]], (end - start)[fine])
+        # What was found is held against the bytes, and each occurrence against the block's first of its hash; a
+        # piece that only shares a hash gets ids of its own.
+        length = end - start
+        own = self.length[spot] == length[first]
+        own[own] = same_bytes(data, start[first[own]], self.raw, self.spelt[spot[own]], length[first[own]])
+        fine = own[which] & (length == length[first][which])
+        fine[fine] = same_bytes(data, start[fine], data, start[first][which[fine]], length[fine])
+        at, size = self.at[spot].astype(np.int64)[which], self.size[spot].astype(np.int64)[which]
         if not fine.all():
             odd = np.flatnonzero(~fine)
             size[odd], ids = self.tokenize(data, start[odd], end[odd], head[odd])
@@ -85,10 +88,10 @@ class PieceMemory:
         size, ids = self.tokenize(data, start, end, head)
         length = end - start
         at = len(self.pool) + np.cumsum(size) - size
-        spelt = len(self.raw) + np.cumsum(length) - length
+        spelt = len(self.raw) - 8 + np.cumsum(length) - length
         self.pool = np.concatenate((self.pool, ids))
         whole = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        self.raw = np.concatenate((self.raw, data[whole]))
+        self.raw = np.concatenate((self.raw[:-8], data[whole], self.raw[-8:]))
         into = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, into, keys)
         for name, new in (("at", at), ("size", size), ("spelt", spelt), ("length", length)):

@@ -69,10 +69,12 @@ class Encoder(PieceMemory):
         size, found = np.zeros(len(start), np.int64), []
         for i in range(0, len(texts), 64):
             encoded = self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)
-            found.extend(np.array(x.ids, np.uint32) for x in encoded)
-            for h, x in zip(first[i : i + 64].tolist(), encoded, strict=True):
-                ends = np.fromiter(chain.from_iterable(x.offsets), np.int64).reshape(-1, 2)[:, 1]
-                np.add.at(size, np.searchsorted(before, before[h] + ends) - 1, 1)
+            ids = [x.ids for x in encoded]
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum())))
+            ends = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in encoded)), np.int64, 2 * int(many.sum()))[1::2]
+            at = np.searchsorted(before, ends + np.repeat(before[first[i : i + 64]], many)) - 1
+            size += np.bincount(at, minlength=len(size))
         return size, np.concatenate(found)
 
 
