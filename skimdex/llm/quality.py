@@ -173,3 +173,36 @@ def _passes(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], rules
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql(rules: Rules = Rules()) -> str:
+    """What ``judge`` returns over ``documents``, in DuckDB's SQL; windows of words are joined by spaces, which no word has."""
+    sizes = sorted({rules.base_window, *rules.ngram_share})
+    ahead = lambda k: f"lead(word, {k}) over p" if k else "word"
+    grams = ", ".join(f"case when {ahead(n - 1)} is not null then concat_ws(' ', {', '.join(ahead(k) for k in range(n))}) end as g{n}" for n in sizes)
+    twice = ", ".join(f"g{n} is not null and count(*) over (partition by doc_id, g{n}) > 1 as twice{n}" for n in sizes)
+    inside = ", ".join(f"bool_or(twice{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as in{n}" for n in sizes)
+    sums = ", ".join(f"coalesce(sum(length(word)) filter (where in{n}), 0) as chars{n}" for n in sizes)
+    worst = ", ".join(f"coalesce(chars{n}, 0)::double / most / {share}::double" for n, share in rules.ngram_share.items())
+    return f"""
+with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents)),
+g as (select doc_id, i, word, {grams} from w window p as (partition by doc_id order by i)),
+t as (select doc_id, i, word, {twice} from g),
+c as (select doc_id, word, {inside} from t),
+words as (select doc_id, count(*) as n_words, sum(length(word)) as word_chars, count(*) filter (where in{rules.base_window}) as n_repeat_words, {sums} from c group by doc_id),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+r as (select doc_id, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) as n, row_number() over (partition by doc_id, line order by i) > 1 as later
+  from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+lines as (select doc_id, count(*) filter (where later) as n_dup_lines, coalesce(sum(n) filter (where later), 0) as line_chars from r group by doc_id),
+a as (select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, greatest(coalesce(word_chars, 0), 1)::double as most, coalesce(line_chars, 0)::double as line_chars, {", ".join(f"chars{n}" for n in sizes)}
+  from documents d left join words using (doc_id) left join lines using (doc_id)),
+v as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.base_percent} * n_words as base_failed,
+    greatest(line_chars / most / {rules.line_share}::double, {worst}) as worst_share from a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and worst_share <= 1 as kept, worst_share from v
+"""
+
+
+SQL = sql()

@@ -21,7 +21,9 @@ _WHERE = {
 }
 _SQL: dict[str, tuple[str, str]] = {
     "op1_source_mixing": ("mixing", "SQL"),
+    "op4_suffix_dedup": ("substring_dedup", "SQL"),
     "op5_line_dedup": ("line_dedup", "SQL"),
+    "op8_quality_rules": ("quality", "SQL"),
 }
 
 

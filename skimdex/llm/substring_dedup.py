@@ -332,3 +332,20 @@ def strip(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return strip(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: What op4 returns, in DuckDB's SQL: every window of 100 bytes is held against every other.
+SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+s as (select doc_id, b, unnest(range(0, octet_length(b) - 99)) as i from d),
+c as (select doc_id, i, row_number() over (partition by b[i + 1 : i + 100] order by doc_id, i) > 1 as later from s),
+m as (select doc_id, i, coalesce(i > lag(i) over p + 100, true) as opens from c where later window p as (partition by doc_id order by i)),
+n as (select doc_id, i, sum(opens::int) over (partition by doc_id order by i) as span from m),
+spans as (select doc_id, min(i) as low, max(i) + 100 as high from n group by doc_id, span),
+gaps as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as after from spans),
+cut as (select doc_id, sum(high - low)::bigint as n_removed, count(*) as n_spans, max(high) as last,
+    string_agg(hex(b[after + 1 : low]), '' order by low) as kept from gaps join d using (doc_id) group by doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept || hex(b[last + 1 :]), hex(b)))) as kept_sha256
+from d left join cut using (doc_id)
+"""

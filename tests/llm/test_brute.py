@@ -303,7 +303,7 @@ def test_mixing_shares_shortages_among_siblings_first(spark):
     assert got == {"x": 10, "y": 40, "z": 50}
 
 
-@pytest.mark.parametrize("name", ["op1_source_mixing", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_source_mixing", "op4_suffix_dedup", "op5_line_dedup", "op8_quality_rules"])
 def test_sql(spark, name):
     from skimdex.llm import registry
 
