@@ -51,8 +51,8 @@ def masks(n: int) -> list[int]:
     return sorted(sum(1 << i for i in chosen) for size in range(1, n + 1) for chosen in combinations(range(n), size))
 
 
-def build_version(spark: SparkSession, table: str, files: Sequence[DataFile], index: IndexMeta, path: str) -> None:
-    """Writes entries and file statistics of ``files`` below ``path``."""
+def build_version(spark: SparkSession, table: str, files: Sequence[DataFile], index: IndexMeta, path: str, codec: str = "snappy") -> None:
+    """Writes entries and file statistics of ``files`` below ``path``, compressed by a Parquet codec (or "none")."""
     names = key_names(index)
     rows = located(spark, table, [f.path for f in files]).select(F.col("_file").alias("file"), F.col("_row").alias("row"), *(F.col(c).alias(n) for c, n in zip(index.columns, names, strict=True)))
     if index.kind == "bitmap":
@@ -61,10 +61,10 @@ def build_version(spark: SparkSession, table: str, files: Sequence[DataFile], in
         entries = bucketed.groupBy("file", *names, "bucket").agg(F.count("*").alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row") + 1)).alias("bitmap"))
     else:
         entries = rows.groupBy("file", *names).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("row")).alias("rows"))  # at most a file's rows
-    entries.repartitionByRange(*names, "file").sortWithinPartitions(*names, "file").write.parquet(f"{path}/entries")
+    entries.repartitionByRange(*names, "file").sortWithinPartitions(*names, "file").write.option("compression", codec).parquet(f"{path}/entries")
     held = spark.read.parquet(f"{path}/entries").select("file", *names, "n").groupBy("file", *names).agg(F.sum("n").alias("n"))
     sizes = spark.createDataFrame([(f.path, f.size, f.modified) for f in files], "file string, size long, modified long")
-    sizes.join(file_statistics(held, names), "file", "left").write.parquet(f"{path}/files")
+    sizes.join(file_statistics(held, names), "file", "left").write.option("compression", codec).parquet(f"{path}/files")
 
 
 def file_statistics(held: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -104,14 +104,14 @@ def may_hold(stats: dict, asked: list[list[int]] | None) -> bool | None:
     return False
 
 
-def judged(c: Candidate, rows: Iterable[dict], asked: list[list[int]] | None, plain: bool, threshold: float) -> Iterator[tuple[str, int, int, str, int]]:
-    """``(file, size, modified, version, verdict)`` of each row; ``plain``: statistics aren't asked."""
+def judged(c: Candidate, rows: Iterable[dict], asked: list[list[int]] | None, plain: bool, threshold: float) -> Iterator[tuple[str, int, int, str, int, int]]:
+    """``(file, size, modified, version, verdict, rows)`` of each row; ``plain``: statistics aren't asked."""
     for stats in rows:
         found = Verdict.USE if plain else verdict(c, stats, may_hold(stats, asked), threshold)
-        yield stats["file"], stats["size"], stats["modified"], stats["version"], found.value
+        yield stats["file"], stats["size"], stats["modified"], stats["version"], found.value, stats["rows"]
 
 
-def verdicts(spark: SparkSession, catalog: Catalog, c: Candidate, kinds: list[T.DataType], conf: dict) -> list[tuple[str, int, int, str, int]]:
+def verdicts(spark: SparkSession, catalog: Catalog, c: Candidate, kinds: list[T.DataType], conf: dict) -> list[tuple[str, int, int, str, int, int]]:
     """What the statistics of one candidate's index say of each file that it was built over."""
     index, names = c.index, key_names(c.index)
     if not index.versions:
@@ -127,10 +127,10 @@ def verdicts(spark: SparkSession, catalog: Catalog, c: Candidate, kinds: list[T.
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     found = list(judged(c, read_rows(batch, names), asked, plain, threshold))
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["file", "size", "modified", "version", "verdict"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], ["file", "size", "modified", "version", "verdict", "rows"])
 
-            got = files.mapInArrow(run, "file string, size long, modified long, version string, verdict int").toArrow()
-            return list(zip(*(got.column(i).to_pylist() for i in range(5)), strict=True))
+            got = files.mapInArrow(run, "file string, size long, modified long, version string, verdict int, rows long").toArrow()
+            return list(zip(*(got.column(i).to_pylist() for i in range(6)), strict=True))
         _kept[at] = list(read_rows(files.toArrow(), names))
         while len(_kept) > KEPT:
             _kept.popitem(last=False)

@@ -33,6 +33,8 @@ class ScanReport:
     indexes: list[str] = field(default_factory=list)
     looked_up: bool = False  # whether keys were looked up; else files to be used are read as they are
     index_rows: int = 0
+    rows_known: int = 0  # rows of the files that an index knows as they are now
+    rows_skipped: int = 0  # of those: in files that are not read
     bytes_read: int = 0
     bytes_skipped: int = 0
     read: list[str] = field(default_factory=list)
@@ -58,19 +60,19 @@ class Scanner:
             return []
         return choose(self.table.catalog.indexes(), compiled.ranges, self.engine.disabled, self.engine.conf["index.most"])
 
-    def live(self, c: Candidate, now: dict) -> dict[str, tuple[str, Verdict]]:
-        """Of the files that the index covers and knows as they are now: the version they are in, and the verdict."""
+    def live(self, c: Candidate, now: dict) -> dict[str, tuple[str, Verdict, int]]:
+        """Of the files that the index covers and knows as they are now: the version they are in, the verdict, and their rows."""
         kinds = {f.name: f.dataType for f in self.table.schema.fields}
         out = {}
-        for path, size, modified, version, found in verdicts(self.spark, self.table.catalog, c, [kinds[x] for x in c.index.columns], self.engine.conf):
+        for path, size, modified, version, found, rows in verdicts(self.spark, self.table.catalog, c, [kinds[x] for x in c.index.columns], self.engine.conf):
             f = now.get(path)
             if f is not None and (f.size, f.modified) == (size, modified) and c.index.covers(f.partition(self.table.path)):
-                out[path] = version, Verdict(found)
+                out[path] = version, Verdict(found), rows
         return out
 
-    def entries(self, c: Candidate, live: dict[str, tuple[str, Verdict]]) -> DataFrame:
+    def entries(self, c: Candidate, live: dict[str, tuple[str, Verdict, int]]) -> DataFrame:
         """The matching entries of just those (file, version) that are ``live``."""
-        pairs = self.spark.createDataFrame([(p, v) for p, (v, _) in live.items()], "file string, version string")
+        pairs = self.spark.createDataFrame([(p, known[0]) for p, known in live.items()], "file string, version string")
         return matching(table_of(self.spark, self.table.catalog, c.index, "entries"), c).join(pairs, ["file", "version"], "left_semi")
 
     def _found(self, chosen: list[Candidate], live: list[dict]) -> list[dict[str, int]]:
@@ -88,7 +90,12 @@ class Scanner:
         return sum(size_of(catalog, f"{catalog.root}/{c.index.name}/{v}/entries") for v in c.index.versions) <= SIZE_RATIO * data_bytes
 
     def plan(self, compiled: Compiled, fetch: str = "files") -> tuple[ScanReport, list[Candidate], list[dict]]:
-        """Which files to read; also the candidates and the files that each knows."""
+        """Which files to read; also the candidates and the files that each knows. The engine keeps the report."""
+        out = self._plan(compiled, fetch)
+        self.engine.scans.append((self.table.name, out[0]))
+        return out
+
+    def _plan(self, compiled: Compiled, fetch: str) -> tuple[ScanReport, list[Candidate], list[dict]]:
         now = {f.path: f for f in self.table.files()}
         report, size = ScanReport(files=len(now)), lambda paths: sum(now[p].size for p in paths)
         if compiled.never:
@@ -111,6 +118,9 @@ class Scanner:
             report.index_rows = min((sum(rows.get(p, 0) for p in hit) for rows in found), default=0)
         report.skipped, report.used, report.full = len(now) - len(use) - len(full), len(use), len(full)
         report.read = sorted([*hit, *full])
+        rows = {p: known[p][2] for known in live for p in known}
+        report.rows_known = sum(rows.values())
+        report.rows_skipped = report.rows_known - sum(rows.get(p, 0) for p in report.read)
         report.bytes_read = size(report.read)
         report.bytes_skipped = size(now) - report.bytes_read
         return report, chosen, live

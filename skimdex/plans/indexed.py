@@ -245,6 +245,26 @@ def _partition_ddl(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "status string, covered boolean")
 
 
+def _elsewhere(spark: SparkSession, sf: str) -> DataFrame:
+    """An index in a folder of its own, compressed with zstd, of a table with gzip, small row groups and Parquet's own filters."""
+    at = f"{workdir(spark)}/{hashlib.sha1(sf.encode()).hexdigest()[:12]}"
+    engine = Engine(spark, **{"index.directory": f"{at}/indexes", "index.codec": "zstd"})
+    table = engine.table(f"{at}/elsewhere", "elsewhere")
+    table.write(spark.read.parquet(f"{sf}/orders.parquet"), files=4, sort_by=["o_custkey"], mode="overwrite", compression="gzip", row_group_bytes=1 << 16, bloom_columns=["o_custkey"])
+    engine.create_index("by_cust", table, ["o_custkey"], if_not_exists=True)
+    engine.refresh_index(table)
+    return table.filter("o_custkey in (3, 14, 15)", ["o_orderkey", "o_custkey"])
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the engine says of its last scan, of a range that one of four files holds."""
+    table = _fresh(spark, sf, "measured", files=4, sort_by=["o_custkey"])
+    table.catalog.save([])
+    table.engine.sql("create sindex by_cust on measured (o_custkey)")
+    table.filter("o_custkey = 1")
+    return table.engine.metrics().select("files", "skipped", "used", "looked_up", "rows_known")
+
+
 #: Statements that Catalyst plans through the indexes (Spark's text; DuckDB's is the same over the source tables).
 STATEMENTS = {
     "sql_alias": ("orders_desc", "select t.o_orderkey, t.o_custkey from orders_desc t where t.o_orderkey = 33"),
@@ -274,6 +294,10 @@ OTHERS |= {
     "removed_top_k": (_file_removed("top"), f"select o_custkey, o_orderkey from {_LEFT} order by o_custkey, o_orderkey limit 10"),
     "removed_semi_join": (_file_removed("semi"), f"select c_custkey from customer where c_custkey in (select o_custkey from {_LEFT})"),
     "literal_out_of_range": (lambda spark, sf: prepared(spark, sf, "part").filter("p_size in (3, 5000000000) or p_size > 5000000000", ["p_partkey", "p_size"]), "select p_partkey, p_size from part where p_size = 3"),
+    "index_directory_codec": (_elsewhere, "select o_orderkey, o_custkey from orders where o_custkey in (3, 14, 15)"),
+    "scan_metrics": (_metrics, "select 4 as files, 3 as skipped, 1 as used, true as looked_up, count(*) as rows_known from orders"),
+    "group_first_last": (_grouped(first_key="first(l_suppkey)", last_key="last(l_suppkey)"), _GROUP.format("l_suppkey as first_key, l_suppkey as last_key").replace("group by l_suppkey", "group by all")),
+    "count_from_bitmap": (lambda spark, sf: prepared(spark, sf, "orders").count_by_key("o_orderstatus in ('F', 'P')", "o_orderstatus"), "select o_orderstatus, count(*) as n from orders where o_orderstatus in ('F', 'P') group by o_orderstatus"),
     "ddl_partitions": (_partition_ddl, "select distinct o_orderstatus as status, o_orderstatus = 'F' as covered from orders"),
 } | {n: (_statement(n), text.replace("customer_plain", "customer").replace("orders_desc", "orders")) for n, (_, text) in STATEMENTS.items()}
 

@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import socket
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import relation
 from ..sources.workdir import workdir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -85,6 +89,12 @@ PAIRS: dict[str, tuple[str, str]] = {
     "join_semi": ("select c_custkey from customer left semi join orders on c_custkey = o_custkey", "select c_custkey from customer where c_custkey in (select o_custkey from orders)"),
     "join_anti": ("select c_custkey from customer left anti join orders on c_custkey = o_custkey and o_orderpriority = '1-URGENT'", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')"),
     "join_hints": ("select /*+ merge(c) */ count(*) as n from orders join customer c on o_custkey = c_custkey", "select count(*) as n from orders join customer c on o_custkey = c_custkey"),
+    "join_hint_broadcast": ("select /*+ broadcast(n) */ s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey", "select s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey"),
+    "join_hint_shuffle_hash": ("select /*+ shuffle_hash(c) */ c_mktsegment, count(*) as n from orders join customer c on o_custkey = c_custkey group by c_mktsegment", "select c_mktsegment, count(*) as n from orders join customer c on o_custkey = c_custkey group by c_mktsegment"),
+    "partition_hints": ("select /*+ repartition(3, n_regionkey), rebalance(n_regionkey), coalesce(2) */ n_nationkey, n_regionkey from nation", "select n_nationkey, n_regionkey from nation"),
+    "tablesample_rows": ("select count(*) as n from nation tablesample (7 rows)", "select 7::bigint as n"),
+    "tablesample_bucket": ("select count(*) <= 25 as fine from nation tablesample (bucket 2 out of 5)", "select true as fine"),
+    "transform_sql": ("select transform(n_nationkey, n_name) using 'cat' as (k string, name string) from nation", "select n_nationkey::varchar as k, n_name as name from nation"),
     "with_rollup_legacy": ("select o_orderstatus, count(*) as n from orders group by o_orderstatus with rollup", "select o_orderstatus, count(*) as n from orders group by rollup (o_orderstatus)"),
     "lateral_explode": ("select o_orderkey, x from orders lateral view explode(array(1, 2)) t as x", "select o_orderkey, unnest([1, 2]) as x from orders"),
     "lateral_explode_outer": ("select r_regionkey, x from region lateral view outer explode(if(r_regionkey = 1, array(), array(r_regionkey))) t as x", "select r_regionkey, case when r_regionkey = 1 then null else r_regionkey end as x from region"),
@@ -231,6 +241,88 @@ def _streamed_index(spark: SparkSession, sf: str) -> DataFrame:
     return table.filter("o_custkey between 10 and 40")
 
 
+def _socket(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines from a socket (Spark reads it on the driver), each once, to a file sink."""
+    names = [r.n_name for r in _table(spark, sf, "nation").select("n_name").collect()]  # a fixed table of 25 rows
+    root = f"{workdir(spark)}/socket-{uuid.uuid4().hex}"
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        over = threading.Event()
+
+        def serve() -> None:
+            with server.accept()[0] as peer:
+                peer.sendall("".join(f"{n}\n" for n in names).encode())
+                over.wait(120)
+
+        threading.Thread(target=serve, daemon=True).start()
+        lines = spark.readStream.format("socket").option("host", "127.0.0.1").option("port", server.getsockname()[1]).load()
+        query = lines.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/seen").start()
+        until = time.monotonic() + 60
+        try:
+            while sum(p.numInputRows for p in query.recentProgress) < len(names) and time.monotonic() < until:
+                query.processAllAvailable()
+                time.sleep(0.1)
+        finally:
+            over.set()
+            query.stop()
+    return spark.read.schema("value string").parquet(f"{root}/out")
+
+
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    relation.register(spark)
+    return spark.read.format("skimdex_series").option("end", 100_000).load().where("id >= 500 and id < 70000 and half is not null")
+
+
+def _series_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    relation.register(spark)
+    return spark.read.format("skimdex_series").option("start", 3).option("end", 2000).load().where("id = 44 or half > 990").select("half")
+
+
+def _catalog(*steps: str, columns: tuple[str, ...] = ("*",)) -> Callable[[SparkSession, str], DataFrame]:
+    """Statements in a database of their own, which is ``{db}``; the rows of the last one, of which there are few."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        views(spark, sf)
+        db = f"skimdex_{uuid.uuid4().hex}"
+        fill = lambda s: s.replace("{db}", db)
+        spark.sql(f"create database {db} location '{workdir(spark)}/{db}'")
+        try:
+            for step in steps[:-1]:
+                spark.sql(fill(step))
+            last = spark.sql(fill(steps[-1])).select(*columns)
+            return spark.createDataFrame(last.collect(), last.schema)
+        finally:
+            spark.sql("use default")
+            spark.sql(f"drop database {db} cascade")
+
+    return run
+
+
+_NATION = "create table {db}.n using parquet as select * from nation"
+_PARTED = "create table {db}.p using parquet partitioned by (r) as select n_nationkey as k, n_regionkey as r from nation"
+#: Catalog and session statements: steps, and SQL for the rows of the last.
+STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
+    "catalog_ctas": ((_NATION, "select * from {db}.n"), "select * from nation"),
+    "catalog_like_rename": ((_NATION, "create table {db}.m like {db}.n", "alter table {db}.m rename to {db}.o", "insert into {db}.o select * from {db}.n where n_regionkey = 1", "select n_name from {db}.o"), "select n_name from nation where n_regionkey = 1"),
+    "catalog_show_tables": ((_NATION, _PARTED, "drop table {db}.n", "drop table if exists {db}.n", "show tables in {db} like 'p'"), "select 'p' as tableName, false as isTemporary"),
+    "catalog_columns": ((_NATION, "alter table {db}.n add columns (extra double)", "alter table {db}.n alter column extra comment 'more'", "show columns in {db}.n"), "select unnest(['n_nationkey', 'n_name', 'n_regionkey', 'extra']) as col_name"),
+    "catalog_properties": ((_NATION, "alter table {db}.n set tblproperties ('a' = '1', 'b' = '2')", "alter table {db}.n unset tblproperties ('b')", "show tblproperties {db}.n ('a')"), "select 'a' as key, '1' as value"),
+    "catalog_partitions": ((_PARTED, "alter table {db}.p add partition (r = 9)", "alter table {db}.p drop partition (r = 0)", "alter table {db}.p partition (r = 9) rename to partition (r = 8)", "show partitions {db}.p"), "select 'r=' || unnest([1, 2, 3, 4, 8]) as partition"),
+    "catalog_recover": ((_PARTED, "msck repair table {db}.p", "alter table {db}.p recover partitions", "refresh table {db}.p", "select r, count(*) as n from {db}.p group by r"), "select n_regionkey as r, count(*) as n from nation group by n_regionkey"),
+    "catalog_views": ((_NATION, "create view {db}.v as select n_name from {db}.n", "alter view {db}.v as select n_name, n_regionkey from {db}.n", "select * from {db}.v where n_regionkey = 2"), "select n_name, n_regionkey from nation where n_regionkey = 2"),
+    "catalog_truncate": ((_NATION, "truncate table {db}.n", "insert into {db}.n select * from nation where n_nationkey < 3", "select n_nationkey from {db}.n"), "select n_nationkey from nation where n_nationkey < 3"),
+    "catalog_analyze": ((_NATION, "analyze table {db}.n compute statistics for columns n_regionkey", "describe extended {db}.n n_regionkey"), "select * from (values ('col_name', 'n_regionkey'), ('data_type', 'int'), ('comment', 'NULL'), ('min', (select min(n_regionkey)::varchar from nation)), ('max', (select max(n_regionkey)::varchar from nation)), ('num_nulls', '0'), ('distinct_count', (select count(distinct n_regionkey)::varchar from nation)), ('avg_col_len', '4'), ('max_col_len', '4'), ('histogram', 'NULL')) t(info_name, info_value)"),
+    "catalog_describe": ((_NATION, "describe table {db}.n"), "select unnest(['n_nationkey', 'n_name', 'n_regionkey']) as col_name, unnest(['int', 'string', 'int']) as data_type, null::varchar as comment"),
+    "catalog_cache": ((_NATION, "cache table {db}.n", "uncache table {db}.n", "cache lazy table {db}.n", "clear cache", "select count(*) as n from {db}.n"), "select count(*) as n from nation"),
+    "catalog_use": ((_NATION, "use {db}", "select max(n_nationkey) as last from n"), "select max(n_nationkey) as last from nation"),
+    "catalog_set_reset": (("set spark.skimdex.tried = 7", "reset spark.skimdex.tried", "set spark.skimdex.tried = 8", "set spark.skimdex.tried"), "select 'spark.skimdex.tried' as key, '8' as value"),
+    "catalog_function": (("create temporary function skimdex_next(x int) returns int return x + 1", "drop temporary function if exists skimdex_none", "select n_nationkey, skimdex_next(n_regionkey) as up from nation"), "select n_nationkey, (n_regionkey + 1)::int as up from nation"),
+    # Which plan Spark picks is its own affair: no SQL.
+    "catalog_explain": (("explain formatted select count(*) from nation",), None),
+}
+#: Of a statement's columns, those that don't name its database.
+_SHOWN = {"catalog_show_tables": ("tableName", "isTemporary")}
+
+
 CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     **{f"source_{k}": (_round_trip(k), "select n_nationkey, n_name, n_regionkey from nation" if k != "text" else "select n_name from nation") for k in ("parquet", "orc", "csv", "json", "text")},
     "insert_partitions": (_partitioned, "select o_orderkey as k, o_orderstatus as s from orders where o_orderstatus <> 'P' union all select o_orderkey, 'P' from orders where o_orderkey < 100"),
@@ -241,6 +333,9 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "udf_table": (_udtf, "select n_nationkey, unnest(string_split(n_name, ' ')) as part from nation"),
     "transform_script": (_transform, "select n_nationkey, substr(n_name, 1, 2) || '!' as tag from nation"),
     "stream_files": (_streamed, "select event_id, event_type from events where event_type <> 'click'"),
+    "stream_socket": (_socket, "select n_name as value from nation"),
+    "relation_filtered": (_series, "select range as id, range // 2 as half from range(500, 70000) where range % 2 = 0"),
+    "relation_pruned": (_series_pruned, "select range // 2 as half from range(3, 2000) where range % 2 = 0 and (range = 44 or range // 2 > 990)"),
     "stream_indexed_table": (_streamed_index, "select o_orderkey, o_custkey from orders where o_custkey between 10 and 40"),
     "repartition_sort": (lambda s, sf: _table(s, sf, "nation").repartition(3, "n_regionkey").sortWithinPartitions("n_name").select("n_name"), "select n_name from nation"),
     "win_dataframe": (lambda s, sf: _table(s, sf, "events").select("event_id", F.sum(F.lit(1)).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("n")), "select event_id, count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as n from events"),
@@ -249,8 +344,8 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _sql(q) for n, q in SAME.items()} | {n: _sql(a) for n, (a, _) in PAIRS.items()} | {n: f for n, (f, _) in CALLS.items()}
+    return {n: _sql(q) for n, q in SAME.items()} | {n: _sql(a) for n, (a, _) in PAIRS.items()} | {n: f for n, (f, _) in CALLS.items()} | {n: _catalog(*steps, columns=_SHOWN.get(n, ("*",))) for n, (steps, _) in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SAME | {n: b for n, (_, b) in PAIRS.items()} | {n: b for n, (_, b) in CALLS.items()}
+    return SAME | {n: b for n, (_, b) in PAIRS.items()} | {n: b for n, (_, b) in CALLS.items()} | {n: b for n, (_, b) in STATEMENTS.items() if b is not None}

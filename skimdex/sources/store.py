@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+_commits = threading.Lock()
+
+
 @dataclass(frozen=True)
 class DataFile:
     path: str
@@ -56,8 +61,12 @@ class Store:
         finally:
             stream.close()
 
-    def write_json(self, path: str, value) -> None:
-        """Writes beside the target and renames over it, so that readers see the old or the new text."""
+    def create_json(self, path: str, value) -> bool:
+        """Writes ``value`` whole at ``path``, or nothing and false if another writer was there first.
+
+        Where a store looks for the target before it renames, as a local disk does, the lock keeps one process's
+        writers apart; stores of a cluster that rename in one step keep all apart.
+        """
         temporary = f"{path}.{uuid.uuid4().hex}.tmp"
         p, fs = self._at(temporary)
         stream = fs.create(p, True)
@@ -65,11 +74,23 @@ class Store:
             stream.write(bytearray(json.dumps(value, default=str).encode()))
         finally:
             stream.close()
-        target = self.jvm.org.apache.hadoop.fs.Path(path)
+        target = fs.makeQualified(self.jvm.org.apache.hadoop.fs.Path(path))
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), self.conf)
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(p), fs.makeQualified(target), options)
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            with _commits:
+                context.rename(fs.makeQualified(p), target, options)
+        except Py4JJavaError:
+            fs.delete(p, False)
+            if fs.exists(target):
+                return False
+            raise
+        return True
+
+    def names(self, path: str) -> dict[str, int]:
+        """The names in a folder and when each was modified (milliseconds); none if it isn't there."""
+        p, fs = self._at(path)
+        return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p)} if fs.exists(p) else {}
 
     def size(self, path: str) -> int:
         """Bytes of all files below ``path``; 0 if there is none."""
