@@ -8,8 +8,9 @@ in the order of the success probability that the query's distance to the cells'
 Hashes, width and number of probes are fitted: a bounded sample of distinct vectors is searched exactly in one
 pass over the whole table, and of the settings that find a given share of those neighbours the one with the least
 estimated work at the table's size is taken. So more rows mean finer buckets. Equal vectors share one index entry, which keeps the ``TOP``+1 smallest
-ids: more of them can't be answers. Buckets of over ``BUCKET_ROWS`` entries are dealt out over several keys, and
-queries that visit them go to each. A query that finds fewer vectors than it should is searched exactly.
+ids: more of them can't be answers. Equal queries are searched once. Buckets of over ``BUCKET_ROWS`` entries are cut
+into pieces and their visitors, where about as many are expected, into slices; each piece meets each slice under a key
+of its own. A query that finds fewer vectors than it should is searched exactly.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ VISIT = 100
 SENT, ANSWERS = 8192, 200_000
 #: Distinct vectors that the settings are fitted on, how many of them ask, how many candidates are estimated on, and the recall they should reach.
 SAMPLE_ROWS, SAMPLE_QUERIES, SAMPLE_MET, RECALL = 2000, 200, 500, 0.95
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 #: Queries of the exact fallback that one pass over the table answers.
 EXACT_QUERIES = 4096
 
@@ -245,29 +246,43 @@ def search(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", ke
         return run
 
     shape = f"bucket long, v {kind}, ids array<long>"
+    once = written(asking.select("v").distinct().withColumn("k", F.monotonically_increasing_id()), "queries")
     held = pool.mapInArrow(dealt(False), shape)
-    large = written(held.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET_ROWS).select("bucket", F.ceil(F.col("c") / BUCKET_ROWS).cast("int").alias("pieces")), "large-buckets")
+    pieces, visitors = F.ceil(F.col("c") / BUCKET_ROWS), F.col("c") * (index.probes * once.count() / max(1, pool.count()))
+    large = held.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET_ROWS)
+    large = written(large.select("bucket", pieces.cast("int").alias("pieces"), F.ceil(visitors / BUCKET_ROWS).cast("int").alias("slices")), "large-buckets")
     large = F.broadcast(large) if large.count() <= 100_000 else large
-    held = held.join(large, "bucket", "left").withColumn("piece", F.pmod(F.xxhash64("ids"), F.coalesce("pieces", F.lit(1))).cast("int"))
-    visits = asking.select("v", F.array("k").alias("ids")).mapInArrow(dealt(True), shape).join(large, "bucket", "left")
-    visits = visits.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
-    both = held.select("bucket", "piece", F.lit(0).alias("asks"), "v", "ids").union(visits.select("bucket", "piece", F.lit(1).alias("asks"), "v", "ids"))
-    met = both.repartition(parts(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece", "asks").mapInArrow(_meeting(top), "q long, vec_id long, score double")
-    found = written(_best(met, top), "neighbours")
+
+    def keyed(rows: DataFrame, asks: int, own: str, many: str, other: str, others: str) -> DataFrame:
+        one = F.pmod(F.xxhash64("ids"), F.coalesce(many, F.lit(1))).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)).alias(other)
+        return rows.join(large, "bucket", "left").select("bucket", one, each, F.lit(asks).alias("asks"), "v", "ids")
+
+    visits = once.select("v", F.array("k").alias("ids")).mapInArrow(dealt(True), shape)
+    both = keyed(held, 0, "piece", "pieces", "slice", "slices").unionByName(keyed(visits, 1, "slice", "slices", "piece", "pieces"))
+    place = ["bucket", "piece", "slice"]
+    met = both.repartition(parts(spark), *place).sortWithinPartitions(*place, "asks").mapInArrow(_meeting(top + 1), "q long, vec_id long, score double")
+    found = written(_best(met, top + 1), "neighbours")
 
     # Whoever found fewer than there are is asked again, against every vector.
-    enough = rows.select("k").distinct().limit(top + 1).count() - 1
-    short = asking.join(found.groupBy("q").agg(F.count("*").alias("c")), asking.k == F.col("q"), "left").where(F.coalesce("c", F.lit(0)) < enough).select("k", "v")
-    short = written(short.withColumn("slice", F.lit(0)), "short")
+    enough = rows.select("k").distinct().limit(top + 1).count()
+    short = once.join(found.groupBy("q").agg(F.count("*").alias("c")), once.k == F.col("q"), "left").where(F.coalesce("c", F.lit(0)) < enough).select("k", "v")
+    short = written(short, "short")
     extra, n = None, short.count()
     for at in range(0, n, EXACT_QUERIES):
         part = short.orderBy("k").offset(at).limit(EXACT_QUERIES).toArrow()
-        one = exact(pool, part.column("k").to_numpy(), part.column("v").combine_chunks(), top)
+        one = exact(pool, part.column("k").to_numpy(), part.column("v").combine_chunks(), top + 1)
         extra = one if extra is None else extra.union(one)
     if extra is not None:
-        found = found.join(F.broadcast(short.select(F.col("k").alias("q")).distinct()) if n <= 100_000 else short.select(F.col("k").alias("q")).distinct(), "q", "left_anti").union(_best(extra, top))
-    order = Window.partitionBy("q").orderBy("score", "vec_id")
-    return found.select(F.col("q").alias("query_id"), F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score")
+        again = short.select(F.col("k").alias("q")).distinct()
+        found = found.join(F.broadcast(again) if n <= 100_000 else again, "q", "left_anti").union(_best(extra, top + 1))
+
+    # Each asking row gets what its vector found, but for itself. A hot vector's rows are split by AQE's skew join.
+    own = asking.distinct().join(once.select("v", F.col("k").alias("q")), "v").select("k", "q")
+    order = Window.partitionBy("k").orderBy("score", "vec_id")
+    answers = own.join(found, "q").where("vec_id != k").groupBy("k", "vec_id").agg(F.min("score").alias("score"))
+    answers = answers.withColumn("rank", F.row_number().over(order).cast("int"))
+    return answers.where(F.col("rank") <= top).select(F.col("k").alias("query_id"), "rank", "vec_id", "score")
 
 
 def _best(met: DataFrame, top: int) -> DataFrame:
@@ -279,8 +294,8 @@ def _best(met: DataFrame, top: int) -> DataFrame:
 def _answers(qids: np.ndarray, q: np.ndarray, ids: list[list[int]], x: np.ndarray, top: int) -> pa.RecordBatch:
     out: tuple[list, list, list] = ([], [], [])
     least = np.array([i[0] for i in ids])
-    for i, near, far in _exact(q, x, least, top + 1):
-        pairs = sorted((d, v) for n, d in zip(near.tolist(), far.tolist(), strict=True) for v in ids[n] if v != qids[i])[:top]
+    for i, near, far in _exact(q, x, least, top):
+        pairs = sorted((d, v) for n, d in zip(near.tolist(), far.tolist(), strict=True) for v in ids[n])[:top]
         out[0].extend([int(qids[i])] * len(pairs))
         out[1].extend(v for _, v in pairs)
         out[2].extend(d for d, _ in pairs)
@@ -288,19 +303,19 @@ def _answers(qids: np.ndarray, q: np.ndarray, ids: list[list[int]], x: np.ndarra
 
 
 def _meeting(top: int):
-    """Queries of each run of one (bucket, piece) against its entries, which come first and are bounded."""
+    """Queries of each run of one (bucket, piece, slice) against its entries, which come first and are bounded."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, rows, x = None, [], [], None
         held, n = [], 0
         for batch in batches:
-            bucket, piece, asks = (batch.column(c).to_numpy() for c in ("bucket", "piece", "asks"))
-            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(piece) != 0) | (np.diff(asks) != 0)) + 1 if len(bucket) else []
+            place = bucket, piece, slice_, asks = [batch.column(c).to_numpy() for c in ("bucket", "piece", "slice", "asks")]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in place], axis=0)) + 1 if len(bucket) else []
             for s, e in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
                 if s == e:
                     continue
-                if at != (bucket[s], piece[s]):
-                    at, ids, rows, x = (bucket[s], piece[s]), [], [], None
+                if at != (bucket[s], piece[s], slice_[s]):
+                    at, ids, rows, x = (bucket[s], piece[s], slice_[s]), [], [], None
                 part = batch.slice(s, e - s)
                 if not asks[s]:
                     ids.extend(part.column("ids").to_pylist())

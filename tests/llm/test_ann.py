@@ -99,3 +99,22 @@ def test_answers_are_cut_down_without_loss(spark, monkeypatch):
     got, want = found(df, df.where("vec_id < 20")), brute(rows, set(range(20)))
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert set(got) == set(want) and all(len(g) == 10 for g in got.values()) and hits >= 180
+
+
+def test_large_buckets_in_pieces_and_slices(spark, monkeypatch):
+    """Near-equal vectors that share their buckets, each of them asking, one of them many times."""
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 16)
+    r = np.random.default_rng(6)
+    rows = [(i, np.ones(5) + 1e-3 * r.normal(size=5)) for i in range(200)] + [(500 + i, 3 * r.normal(size=5)) for i in range(100)] + [(900 + i, np.ones(5)) for i in range(50)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got, want = found(df, df), brute(rows, {i for i, _ in rows})
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert set(got) == set(want) and all(len(g) == 10 for g in got.values()) and hits >= 0.9 * 10 * len(want)
+    assert all(got[900 + i] == want[900 + i] for i in range(50))
+
+
+def test_an_id_in_several_places(spark):
+    rows = [(5, [0.0, 1.0]), (7, [0.0, 1.0]), (5, [9.0, 0.5]), (8, [9.0, 1.0]), (9, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q: dict((i, round(s, 3)) for s, i in a) for q, a in found(df, df.where("vec_id in (5, 7)")).items()}
+    assert got == {5: {7: 0.0, 8: 0.5, 9: 1.0}, 7: {5: 0.0, 9: 1.0, 8: 9.0}}
