@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .common import BYTE_VALUE, prefix_hashes, same_bytes, span_hashes
 
@@ -11,11 +12,31 @@ MEMORY = 48 << 20
 _HEAD = np.uint64(0x632BE59BD9B4E019)
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of the pieces that ``data`` is cut into at ``start``, and a piece of each number.
+
+    Two have the same number just if their bytes are equal (Arrow compares them) and both or neither are heads.
+    """
+    edges = pa.py_buffer(np.append(start, len(data)))
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    which = 2 * every.indices.to_numpy().astype(np.int64) + head
+    first = np.full(2 * len(every.dictionary), -1)
+    first[which] = np.arange(len(which))
+    used = first >= 0
+    return (np.cumsum(used) - 1)[which], first[used]
+
+
+def _spelt(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ``length`` bytes of ``data`` from each ``start`` on, end to end."""
+    ends = np.cumsum(length)
+    return data[np.arange(int(ends[-1])) + np.repeat(start - (ends - length), length)]
+
+
 class PieceMemory:
     """Encodes texts by pieces, each distinct one once.
 
-    Pieces are looked up by 64-bit hashes, and what is found is compared byte by byte: a piece whose hash is that
-    of another one is encoded by itself. A subclass says where a text may be cut so that its pieces' ids, one
+    A block's distinct pieces are looked up by 64-bit hashes, and what is found is compared byte by byte: a piece
+    whose hash is that of another one is encoded by itself. A subclass says where a text may be cut so that its pieces' ids, one
     after the other, are its own (``cuts``), and gives ids of pieces (``tokenize``), which learns of each piece
     whether it begins a text.
     """
@@ -28,7 +49,7 @@ class PieceMemory:
         raise NotImplementedError
 
     def tokenize(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece data[start:end] has, and all the ids."""
+        """How many ids each piece data[start:end] has, and all the ids; the pieces lie end to end."""
         raise NotImplementedError
 
     def clear(self) -> None:
@@ -50,11 +71,16 @@ class PieceMemory:
         begins[1:] = self.cuts(data)
         head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         start = np.flatnonzero(begins | head)
-        head = head[start]
-        end = np.append(start[1:], len(data))
+        row = np.searchsorted(offsets, start, side="right") - 1
+        which, first = _distinct(data, start, head[start])
+        head = head[start[first]]
+        # From here on the distinct pieces only, their bytes end to end.
+        length = np.diff(start, append=len(data))[first]
+        end = np.cumsum(length)
+        data, start = _spelt(data, start[first], length), end - length
         hashes = span_hashes(prefix_hashes(BYTE_VALUE[data]), start, end)
         hashes[head] ^= _HEAD
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, same = np.unique(hashes, return_index=True, return_inverse=True)
         if self.held > MEMORY:
             self.clear()
         spot = np.searchsorted(self.keys, distinct)
@@ -62,36 +88,33 @@ class PieceMemory:
         known[known] = self.keys[spot[known]] == distinct[known]
         if not known.all():
             new = first[~known]
-            self._learn(data, distinct[~known], start[new], end[new], head[new])
+            self._learn(data, distinct[~known], start[new], length[new], head[new])
             spot = np.searchsorted(self.keys, distinct)
-        # What was found is held against the bytes, and each occurrence against the block's first of its hash; a
-        # piece that only shares a hash gets ids of its own.
-        length = end - start
-        own = self.length[spot] == length[first]
-        own[own] = same_bytes(data, start[first[own]], self.raw, self.spelt[spot[own]], length[first[own]])
-        fine = own[which] & (length == length[first][which])
-        fine[fine] = same_bytes(data, start[fine], data, start[first][which[fine]], length[fine])
-        at, size = self.at[spot].astype(np.int64)[which], self.size[spot].astype(np.int64)[which]
-        if not fine.all():
-            odd = np.flatnonzero(~fine)
-            size[odd], ids = self.tokenize(data, start[odd], end[odd], head[odd])
+        # What was found is held against the bytes; a piece that only shares a hash gets ids of its own.
+        spot = spot[same]
+        own = self.length[spot] == length
+        own[own] = same_bytes(data, start[own], self.raw, self.spelt[spot[own]], length[own])
+        at, size, pool = self.at[spot].astype(np.int64), self.size[spot].astype(np.int64), self.pool
+        if not own.all():
+            odd = np.flatnonzero(~own)
+            size[odd], ids = self._tokenized(data, start[odd], length[odd], head[odd])[1:]
             at[odd] = len(self.pool) + np.cumsum(size[odd]) - size[odd]
             pool = np.concatenate((self.pool, ids))
-        else:
-            pool = self.pool
+        at, size = at[which], size[which]
         ends = np.cumsum(size)
         ids = pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)]
-        row = np.searchsorted(offsets, start, side="right") - 1
         return ids, np.bincount(row, size, rows).astype(np.int64)
 
-    def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
-        size, ids = self.tokenize(data, start, end, head)
-        length = end - start
+    def _tokenized(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, end = _spelt(data, start, length), np.cumsum(length)
+        return data, *self.tokenize(data, end - length, end, head)
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, length: np.ndarray, head: np.ndarray) -> None:
+        raw, size, ids = self._tokenized(data, start, length, head)
         at = len(self.pool) + np.cumsum(size) - size
         spelt = len(self.raw) - 8 + np.cumsum(length) - length
         self.pool = np.concatenate((self.pool, ids))
-        whole = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        self.raw = np.concatenate((self.raw[:-8], data[whole], self.raw[-8:]))
+        self.raw = np.concatenate((self.raw[:-8], raw, self.raw[-8:]))
         into = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, into, keys)
         for name, new in (("at", at), ("size", size), ("spelt", spelt), ("length", length)):

@@ -28,6 +28,8 @@ _NARROW[0] = 0
 
 def _needs(ids: np.ndarray) -> np.ndarray:
     """The highest selector number that each id needs at least."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _NARROW[ids.astype(np.int64)]
     small = ids < np.uint64(1 << 16)
     out = _NARROW[np.where(small, ids, np.uint64(0)).astype(np.int64)]
     if not small.all():
@@ -49,49 +51,31 @@ def encode(ids: np.ndarray) -> bytes:
     padded[:n] = ids
     need = _needs(padded)
     need[n:] = -1
-    # best[i]: the selector of most ids that can start at i.
+    # best[i]: the selector of most ids that can start at i. Where one fits, so does each that holds fewer.
     best = np.full(len(padded), 15, np.int8)
-    small = np.arange(len(padded))  # places whose id fits the selector
+    most = need  # the highest need of the ids from each place on that a selector holds
     for s in range(14, -1, -1):
-        small = small[need[small] <= (s if s > 1 else 0)]
-        if not len(small):
+        more = int(COUNT[s] - COUNT[s + 1])
+        most = np.maximum(most[:-more], most[more:])
+        fits = most <= s
+        if not fits.any():
             break
-        cut = np.flatnonzero(np.diff(small) > 1)
-        start = small[np.concatenate(([0], cut + 1))]
-        last = small[np.concatenate((cut, [len(small) - 1]))] - (COUNT[s] - 1)  # where that many still fit
-        fits = last >= start
-        if fits.any():
-            edge = np.zeros(len(need) + 1, np.int8)
-            edge[start[fits]] = 1
-            edge[last[fits] + 1] -= 1
-            best[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] = s
-    best = best.reshape(blocks, BLOCK)
-    step = COUNT[best]
-    starts = np.zeros((blocks, BLOCK), bool)
-    size = np.full(blocks, BLOCK, np.int64)
-    if blocks:
-        size[-1] = n - (blocks - 1) * BLOCK
-    live, place = np.arange(blocks), np.zeros(blocks, np.int64)
-    while len(live):
-        starts[live, place] = True
-        place = place + step[live, place]
-        going = place < size[live]
-        live, place = live[going], place[going]
-    first = np.flatnonzero(starts.reshape(-1))
-    chosen = best.reshape(-1)[first].astype(np.int64)
-    words = chosen.astype(np.uint64)
-    for s in np.unique(chosen).tolist():
-        if not WIDTH[s]:
-            continue
-        mine = np.flatnonzero(chosen == s)
-        p = first[mine]
-        end = (p // BLOCK + 1) * BLOCK
-        word = words[mine]
-        for j in range(int(COUNT[s])):
-            inside = p + j < end
-            value = padded[np.where(inside, p + j, 0)]
-            word |= np.where(inside, value, np.uint64(0)) << np.uint64(4 + j * WIDTH[s])
-        words[mine] = word
+        best[: len(fits)] -= fits.view(np.int8)
+    starts = np.zeros(len(padded), bool)
+    place = np.arange(blocks) * BLOCK
+    stop = np.minimum(place + BLOCK, n)
+    while len(place):
+        starts[place] = True
+        place = place + COUNT[best[place]]
+        going = place < stop
+        if not going.all():
+            place, stop = place[going], stop[going]
+    first = np.flatnonzero(starts)
+    words = best[first].astype(np.uint64)
+    if n:
+        many, width = np.diff(first, append=n), WIDTH[best[first]].astype(np.uint64)
+        shift = np.arange(n, dtype=np.uint64) * np.repeat(width, many) + np.repeat(np.uint64(4) - width * first.astype(np.uint64), many)
+        words |= np.bitwise_or.reduceat(padded[:n] << shift, first)
     offsets = np.append(np.searchsorted(first, np.arange(blocks) * BLOCK), len(words)).astype("<u4")
     return _HEAD.pack(MAGIC, BLOCK, n, len(words), len(escape)) + offsets.tobytes() + escape.astype("<u8").tobytes() + escaped.astype("<u8").tobytes() + words.astype("<u8").tobytes()
 

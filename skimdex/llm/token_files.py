@@ -49,6 +49,11 @@ class Encoder(PieceMemory):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Bytes of text that each id stands for: a byte-level token has a character for each.
+        known = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        known |= {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.bytes = np.zeros(max(known) + 1, np.int64)
+        self.bytes[list(known)] = list(known.values())
         super().__init__()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -60,20 +65,31 @@ class Encoder(PieceMemory):
         apart = SPACE[data[start]]
         apart[1:] &= _visible(data[end - 1], data[np.maximum(end - 2, 0)])[:-1]
         first = np.flatnonzero(~apart | (np.arange(len(start)) % 64 == 0))
-        raw = data.tobytes()
-        slices = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        texts = [b"".join(slices[h:t]).decode() for h, t in zip(first.tolist(), [*first[1:].tolist(), len(start)], strict=True)]
+        raw, edges = data.tobytes(), [*start[first].tolist(), len(data)]
+        texts = [raw[s:e].decode() for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        found = []
+        for i in range(0, len(texts), 64):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))))
+        ids = np.concatenate(found)
+        # Where the bytes that ids stand for run on to the end of each piece, they tell whose an id is.
+        reached = np.concatenate(([0], np.cumsum(self.bytes[ids])))
+        upto = np.searchsorted(reached, end, side="right") - 1
+        if reached[-1] == len(data) and (reached[upto] == end).all():
+            return np.diff(upto, prepend=0), ids
+        return self._by_offsets(texts, np.searchsorted(start, edges[:-1]), data, start, end)
+
+    def _by_offsets(self, texts: list[str], first: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``tokenize`` by the library's offsets, which cost more, for a tokenizer that changes a text's bytes."""
         begun = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=begun[1:])
-        before = np.concatenate(([0], np.cumsum(begun[end] - begun[start])))
         size, found = np.zeros(len(start), np.int64), []
         for i in range(0, len(texts), 64):
             encoded = self.tokenizer.encode_batch(texts[i : i + 64], add_special_tokens=False)
-            ids = [x.ids for x in encoded]
-            many = np.fromiter(map(len, ids), np.int64, len(ids))
-            found.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum())))
-            ends = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in encoded)), np.int64, 2 * int(many.sum()))[1::2]
-            at = np.searchsorted(before, ends + np.repeat(before[first[i : i + 64]], many)) - 1
+            many = np.array([len(x.ids) for x in encoded], np.int64)
+            found.extend(np.array(x.ids, np.uint32) for x in encoded)
+            ends = np.array([e for x in encoded for _, e in x.offsets], np.int64)
+            at = np.searchsorted(begun[start], ends + np.repeat(begun[start[first[i : i + 64]]], many)) - 1
             size += np.bincount(at, minlength=len(size))
         return size, np.concatenate(found)
 
