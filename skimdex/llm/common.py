@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch on its way to a Python worker; both sides hold a batch whole.
 BATCH_BYTES = 8 << 20
+#: Rows of a few numbers each that are worth a file of their own.
+FILE_ROWS = 20_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,17 +73,32 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows of a few numbers each, dealt evenly to so many tasks as they are worth.
+
+    Each task that writes makes a file of its own, for which Hadoop's local file system may start processes (``chmod``).
+    Where Spark doesn't merge small partitions itself, a small table would be a file for each shuffle partition.
+    Tables of more than ``FILE_ROWS`` rows for each of those stay as they are.
+    """
+    conf, few = df.sparkSession.conf, max(1, -(-rows // FILE_ROWS))
+    merged = all(conf.get(f"spark.sql.adaptive.{k}enabled") == "true" for k in ("", "coalescePartitions."))
+    return df if merged or few >= parts(df.sparkSession) else df.repartition(few)
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder; ``rows``: it is ``packed``."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else packed(df, rows)).checkpoint(eager=True)
+
 
+def written(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: columnar, prunable and free of lineage.
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: columnar, prunable and free of lineage."""
+    ``rows``, where it is known that there are no more: the table is ``packed``.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    (df if rows is None else packed(df, rows)).write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

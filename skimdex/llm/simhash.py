@@ -519,8 +519,9 @@ def near_dedup(docs: DataFrame, words: int = 5, radius: int = 72, lanes: int = 4
     distinct = written(prints.groupBy("node").agg(F.min("h").alias("h"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(lanes))), "distinct")
     links = similar_links(distinct, lambda nodes: shingle_sets(known, distinct, nodes, words), lanes, radius, tables, bits, hot)
     roots = components(links).withColumnRenamed("node", "n")
+    rows = prints.count()
     rooted = prints.join(roots, prints.node == F.col("n"), "left").select("k", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    named = written(rooted.groupBy("root").agg(F.min("k").alias("least")), "named")
+    rooted = written(rooted, "rooted", rows=rows)
+    named = written(rooted.groupBy("root").agg(F.min("k").alias("least")), "named", rows=rows)
     later = rooted.join(named, "root").where("k <> least").select(F.col("k").alias("doc_id")).distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
