@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.build import range_number, tile
 from ..sources import relation
 from ..sources.workdir import workdir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Rows that an aggregate in Python gets at once, and the power of two of keys that a range frame's block has.
+STRETCH, BLOCK = 65536, 12
 _CENTS = "cast(round(sum({} * 100)) as bigint)"
 
 SAME = {
@@ -187,11 +190,45 @@ def _udfs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _udaf(spark: SparkSession, sf: str) -> DataFrame:
+    """In two steps, so that Python never holds a whole group: of stretches of ``STRETCH`` rows at most, then of what they gave."""
+
+    @F.pandas_udf("double")
+    def least(x: pd.Series) -> float:
+        return float(x.min())
+
     @F.pandas_udf("double")
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+    def most(x: pd.Series) -> float:
+        return float(x.max())
+
+    @F.pandas_udf("double")
+    def spread(low: pd.Series, high: pd.Series) -> float:
+        return float(high.max() - low.min())
+
+    rows = _table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", F.expr(f"monotonically_increasing_id() div {STRETCH}").alias("stretch"))
+    parts = rows.groupBy("l_returnflag", "stretch").agg(least("l_quantity").alias("low"), most("l_quantity").alias("high"))
+    return parts.groupBy("l_returnflag").agg(spread("low", "high").alias("spread"))
 
-    return _table(spark, sf, "lineitem").groupBy("l_returnflag").agg(spread("l_quantity").alias("spread"))
+
+def _ntile(spark: SparkSession, sf: str) -> DataFrame:
+    """SAME's text without a window over the whole table: rows are numbered in each range of keys, from where the ranges before it end."""
+    path = f"{workdir(spark)}/ranges-{uuid.uuid4().hex}"
+    _table(spark, sf, "orders").select("o_orderkey").repartitionByRange("o_orderkey").write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("p", range_number())
+    order = Window.orderBy("p")  # a row for each range
+    counts = rows.groupBy("p").agg(F.count("*").alias("c")).select("p", (F.sum("c").over(order) - F.col("c")).alias("before"), F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    at = F.row_number().over(Window.partitionBy("p").orderBy("o_orderkey")) + F.col("before")
+    return rows.join(F.broadcast(counts), "p").select("o_orderkey", "total", at.alias("at")).select("o_orderkey", tile(F.col("at"), 7).alias("t"))
+
+
+def _range_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """SAME's text without a window over the whole table: blocks of keys, each with the rows beside it that its frames reach."""
+    key, low, high = F.col("o_orderkey"), 10, 5
+    block, place = F.shiftright(key, BLOCK), key.bitwiseAND((1 << BLOCK) - 1)
+    after, before = F.when(place >= (1 << BLOCK) - low, block + 1), F.when(place < high, block - 1)
+    seen = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), *(F.struct(x.alias("block"), F.lit(False).alias("own")) for x in (after, before)))
+    rows = _table(spark, sf, "orders").select("o_orderkey", F.inline(F.filter(seen, lambda x: x.own | x.block.isNotNull())))
+    frame = Window.partitionBy("block").orderBy("o_orderkey").rangeBetween(-low, high)
+    return rows.withColumn("n", F.count("*").over(frame)).where("own").select("o_orderkey", "n")
 
 
 def _udtf(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,8 +380,12 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+#: Of SAME, those whose text would put the whole table into one task.
+SPREAD = {"win_ntile": _ntile, "win_range_frame": _range_frame}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _sql(q) for n, q in SAME.items()} | {n: _sql(a) for n, (a, _) in PAIRS.items()} | {n: f for n, (f, _) in CALLS.items()} | {n: _catalog(*steps, columns=_SHOWN.get(n, ("*",))) for n, (steps, _) in STATEMENTS.items()}
+    return {n: _sql(q) for n, q in SAME.items()} | SPREAD | {n: _sql(a) for n, (a, _) in PAIRS.items()} | {n: f for n, (f, _) in CALLS.items()} | {n: _catalog(*steps, columns=_SHOWN.get(n, ("*",))) for n, (steps, _) in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
