@@ -16,3 +16,12 @@ def test_windows_over_a_whole_table_are_dealt_out(spark, tmp_path):
         want = spark.sql(relational.SAME[name])
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.dtypes == want.dtypes
         assert "ntile(" not in plan and "windowspecdefinition(o_orderkey" not in plan
+
+
+def test_an_aggregate_in_python_never_gets_a_whole_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relational, "STRETCH", 10)
+    rows = spark.range(0, 100, 1, 1).select(F.when(F.col("id") < 90, F.lit("A")).otherwise("B").alias("l_returnflag"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("l_quantity"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = relational.queries()["udf_aggregate"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [l_returnflag") == 2
+    assert {r.l_returnflag: r.spread for r in got.collect()} == {"A": 88.0, "B": 7.0}
